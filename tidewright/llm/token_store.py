@@ -280,7 +280,12 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     per_text = np.fromiter(map(len, words), np.int64, len(words))
     coded = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
     del words
-    codes, uniques = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    codes, given = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    # A comma or stop behind an ASCII letter is a token of its own, and the tokenizer lower-cases: fewer words are left to encode.
+    tail = np.fromiter(((w[-1:] == ",") + 2 * (w[-1:] == ".") if w[-2:-1].isalpha() and w[-2:-1].isascii() else 0 for w in given), np.int64, len(given))
+    stems = pa.array([(w[:-1] if k else w).lower() if w.isascii() else (w[:-1] if k else w) for w, k in zip(given, tail.tolist(), strict=True)], pa.large_string()).dictionary_encode()
+    stem, uniques = stems.indices.to_numpy(zero_copy_only=False), stems.dictionary.to_pylist()
+    ends_in = np.array([-1, *(made.encode(c, add_special_tokens=False).ids[0] for c in ",.")], np.int32)
     sizes, parts = np.zeros(len(uniques), np.int64), []
     plain = [k for k, w in enumerate(uniques) if MARK not in w and len(w) < 1000] if mark is not None else []
     odd = sorted(set(range(len(uniques))) - set(plain)) if len(plain) < len(uniques) else []
@@ -297,16 +302,26 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
         one = np.array(made.encode(uniques[k], add_special_tokens=False).ids, np.int32)
         sizes[k] = len(one)
         parts.append(one)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    starts = np.zeros(len(uniques), np.int64)
-    ordered = np.array(order, np.int64)
+    starts, ordered = np.zeros(len(uniques), np.int64), np.array(order, np.int64)
     starts[ordered] = np.cumsum(sizes[ordered]) - sizes[ordered]
-    n = sizes[codes]
-    ends = np.cumsum(n)
+    # One more place behind each stem, which its mark fills; the places are dropped where there is none.
+    flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+    begin, n = _gathered(starts[stem], sizes[stem])
+    flat = np.insert(flat[begin], np.cumsum(n), ends_in[tail])
+    keep = flat >= 0
+    flat = flat[keep]
+    n = n + (tail > 0)
+    starts = np.cumsum(n) - n
+    at, n = _gathered(starts[codes], n[codes])
+    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
+    return flat[at], np.diff(cuts)
+
+
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions starts[k], starts[k] + 1, ... of all k one after the other, and the sizes."""
+    ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.int32)
-    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-    return ids, np.diff(cuts)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total), sizes
 
 
 # ---- tables ---------------------------------------------------------------------------------

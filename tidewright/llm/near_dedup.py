@@ -10,8 +10,8 @@ probability Jaccard similarity of whole texts; classes are the components of ver
 
 Equal texts are one node, however many rows they have.  A bucket is compared with a leader (drawn
 by a hash of band and node, so that buckets differ); members that are in another class than the
-leader's afterwards are compared with further leaders, until every two members of a bucket are in
-one class or have met.  No bucket is capped and none is expanded into all its pairs.
+leader's afterwards are compared with further leaders (up to LEADERS a round), until every two
+members of a bucket are in one class or have met.  No bucket is capped and none is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
 SEED = 1
+LEADERS = 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,7 +163,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, thres
     return found
 
 
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, stats: dict | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, leaders: int = LEADERS, stats: dict | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its class), class_size (rows),
     kept (one row of each class: that of the smallest doc_id).
 
@@ -187,14 +188,15 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     labels = components(links)
     open_members = members.where("leader <> _rid").select("band", "h", "_rid")  # those that have not led their bucket
     while True:
-        # Buckets whose members are still in several classes get another leader; all others are done.
+        # Buckets whose members are still in several classes get more leaders; all others are done.
         now = open_members.join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))
-        mixed_up = now.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(draw).alias("m")).where("lo <> hi").select("band", "h", F.col("m._rid").alias("leader"))
+        mixed_up = now.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "h")
         rest = written(now.join(mixed_up, ["band", "h"]), "rest")
         if rest.isEmpty():
             break
-        lead = rest.where("leader = _rid").select("band", "h", F.col("c").alias("lc"))
-        more = rest.where("leader <> _rid").join(lead, ["band", "h"]).where("c <> lc").select(F.least("leader", "_rid").alias("a"), F.greatest("leader", "_rid").alias("b")).distinct()
+        drawn = F.struct(F.xxhash64("band", "_rid"), "_rid", "c")
+        lead = written(rest.groupBy("band", "h", F.pmod(F.xxhash64("_rid", F.lit(rounds)), F.lit(leaders)).alias("g")).agg(F.min(drawn).alias("m")).select("band", "h", F.col("m._rid").alias("leader"), F.col("m.c").alias("lc")), "leaders")
+        more = rest.join(lead, ["band", "h"]).where("c <> lc").select(F.least("leader", "_rid").alias("a"), F.greatest("leader", "_rid").alias("b")).distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         pairs = pairs.unionByName(more)
         found = _links(more, nodes, source, size, threshold)
@@ -202,7 +204,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
-        open_members = rest.where("leader <> _rid").select("band", "h", "_rid")
+        open_members = rest.join(lead.withColumnRenamed("leader", "_rid"), ["band", "h", "_rid"], "left_anti").select("band", "h", "_rid")
         if stats is not None:
             met += more.count()
     if stats is not None:

@@ -9,9 +9,11 @@ registers bring similar documents into common buckets.  Candidates are verified
 probability Jaccard similarity of whole texts; classes are the components of verified links.
 
 Equal texts are one node, however many rows they have.  A bucket is compared with a leader (drawn
-by a hash of band and node, so that buckets differ); members that are in another class than the
-leader's afterwards are compared with further leaders (up to LEADERS a round), until every two
-members of a bucket are in one class or have met.  No bucket is capped and none is expanded into all its pairs.
+by a hash of band and node, so that buckets differ).  A family is all nodes that buckets connect.
+Where a family holds several classes afterwards, the members outside its largest class are compared
+with all members of other classes that share a band, block against block: sketches (a byte a
+register) rule out most, the others are compared exactly in place.  So any two members of a bucket
+are in one class or have been compared; nothing is capped, and only links are emitted.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.components import components
 from tidewright.llm.exact_dedup import normalised
-from tidewright.llm.storage import dropped, free_shuffles, need, read_table, written
+from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
 from tidewright.llm.substring_dedup import hash_words, mixed
 
 SHINGLE = 5
@@ -31,7 +33,7 @@ THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
 SEED = 1
-LEADERS = 16
+BLOCK = 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,13 +58,13 @@ def weighted_shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.
         total += h[k : k + len(total)] * np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64))
     owner = np.repeat(np.arange(len(words)), length)[: len(total)]
     inside = np.arange(len(total)) + size <= (starts + length)[owner]
-    value, owner = mixed(total[inside]), owner[inside]
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    # One sort of a combined number: 44 bits of the hash under the text's number.
+    key = np.sort(owner[inside].astype(np.uint64) << np.uint64(44) | mixed(total[inside]) >> np.uint64(20))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return owner[at], value[at], np.diff(np.append(at, len(value)))
+    key = key[at]
+    return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.diff(np.append(at, len(new)))
 
 
 def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, registers: int = BANDS * ROWS, seed: int = SEED) -> np.ndarray:
@@ -86,10 +88,21 @@ def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts:
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated probability Jaccard similarity of two signatures."""
+    """Estimated probability Jaccard similarity of two signatures (or of their sketches)."""
     return float((a == b).mean())
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """One byte a register: enough to estimate with."""
+    return (mixed(sig) >> np.uint64(56)).astype(np.uint8)
+
+
+def least_estimate(threshold: float, registers: int) -> float:
+    """4.5 standard deviations under the threshold: a pair just at it is estimated lower three times in
+    a million, a more similar one far more seldom."""
+    return threshold - 4.5 * (threshold * (1 - threshold) / registers) ** 0.5
+
+
 def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     part = sig.reshape(len(sig), bands, rows)
     total = np.zeros(part.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64) * GOLD
@@ -128,14 +141,73 @@ def _signed(bands: int, rows: int, size: int, seed: int):
                 while stop < len(texts) and (stop == begin or held + len(texts[stop] or "") <= 6 << 20) and stop - begin < 4000:
                     held += len(texts[stop] or "")
                     stop += 1
-                keys = band_keys(signatures(*weighted_shingles(texts[begin:stop], size), stop - begin, bands * rows, seed), bands, rows)
+                sig = signatures(*weighted_shingles(texts[begin:stop], size), stop - begin, bands * rows, seed)
+                keys = band_keys(sig, bands, rows)
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(begin, stop - begin) for c in ("_rid", "doc_id", "_key")), column], ["_rid", "doc_id", "_key", "bands"])
+                sketch = pa.array([x.tobytes() for x in sketches(sig)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(begin, stop - begin) for c in ("_rid", "doc_id", "_key")), sketch, column], ["_rid", "doc_id", "_key", "sketch", "bands"])
                 begin = stop
 
     return run
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+
+
+def _promising(least: float):
+    def run(batches):
+        for b in batches:
+            keep = pa.array((_matrix(b.column("sa")) == _matrix(b.column("sb"))).mean(1) >= least) if b.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _across(least: float, threshold: float, size: int):
+    """Links between a block of outsiders (side 0) and a block of members (side 1) of one family: pairs
+    that share a band and are estimated high enough are compared exactly, unless links found before
+    already put them into one class.  Only links are emitted."""
+
+    def run(key, table):
+        side, rid, c = (table.column(x).to_numpy() for x in ("side", "_rid", "c"))
+        c = c.copy()
+        sketch = _matrix(table.column("sketch").combine_chunks())
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
+        owner, value, weight = weighted_shingles(table.column("text").to_pylist(), size)
+        begin = np.searchsorted(owner, np.arange(len(rid) + 1))
+        n = np.diff(begin)
+        plain = np.maximum.reduceat(weight, begin[:-1]) == 1
+        local = np.unique(value, return_inverse=True)[1]
+        mark = np.zeros(int(local.max()) + 1, bool)
+        x, out = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0):
+            near = x[c[x] != c[i]]
+            near = near[(bands[near] == bands[i]).any(1)]
+            near = near[(sketch[near] == sketch[i]).mean(1) >= least]
+            if not len(near):
+                continue
+            own = slice(begin[i], begin[i + 1])
+            mark[local[own]] = True
+            common = np.array([np.count_nonzero(mark[local[begin[j] : begin[j + 1]]]) for j in near])
+            mark[local[own]] = False
+            alike = np.where(plain[near] & plain[i], common / (n[near] + n[i] - common), -1.0)
+            for j, s in zip(near.tolist(), alike.tolist(), strict=True):
+                if c[j] == c[i]:
+                    continue
+                if s < 0:
+                    other = slice(begin[j], begin[j + 1])
+                    s = probability_jaccard((value[own], weight[own]), (value[other], weight[other]))
+                if s >= threshold:
+                    out.append((min(rid[i], rid[j]), max(rid[i], rid[j])))
+                    c[c == c[j]] = c[i]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return run
+
+
 def _verified(size: int, threshold: float):
     def run(batches):
         for b in batches:
@@ -151,64 +223,64 @@ def _one(text, size):
     return value, weight
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough.  Whole texts are fetched for the nodes
-    of pairs alone."""
-    wanted = pairs.select(F.col("a").alias("_rid")).union(pairs.select("b")).distinct().join(nodes.select("_rid", "_id", "_key"), "_rid")
-    texts = written(rows.select("_id", "_key", "text").join(wanted, ["_id", "_key"]).select("_rid", "text"), "texts")
-    left = pairs.join(texts.select(F.col("_rid").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("_rid").alias("b"), F.col("text").alias("tb")), "b")
-    found = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(size, threshold), "a bigint, b bigint").distinct(), "links")
-    dropped(texts)
-    return found
-
-
-def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, leaders: int = LEADERS, stats: dict | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block: int = BLOCK, stats: dict | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its class), class_size (rows),
     kept (one row of each class: that of the smallest doc_id).
 
     Texts that agree after lower-casing A-Z are one node; null text is empty; texts without words
     are alike.  A null doc_id is the largest; of repeated rows with the smallest doc_id one is
-    kept.  Empty table: empty result.  ``stats``: gets the number of rounds and of pairs."""
+    kept.  Empty table: empty result.  ``stats``: gets the number of pairs and of links."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    source = docs.select("doc_id", "text").withColumns({"_key": F.unhex(F.sha2(normalised(F.col("text")), 256)), "_id": F.xxhash64("doc_id")})
-    signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(_signed(bands, rows, size, seed), "_rid bigint, doc_id bigint, _key binary, bands array<bigint>"), "signed")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "_rid", "doc_id"))
-    groups = written(signed.groupBy("_key").agg(least.alias("m"), F.count(F.lit(1)).alias("n")), "nodes")
+    least = least_estimate(threshold, bands * rows)
+    source = docs.select("doc_id", "text").withColumn("_key", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4000"):
+        signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(_signed(bands, rows, size, seed), "_rid bigint, doc_id bigint, _key binary, sketch binary, bands array<bigint>"), "signed")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "_rid", "doc_id"))
+    groups = written(signed.groupBy("_key").agg(first.alias("m"), F.count(F.lit(1)).alias("n")), "nodes")
     nodes = groups.select("_key", F.col("m._rid").alias("_rid"), F.xxhash64("m.doc_id").alias("_id"), "m", "n")
 
+    # Buckets: one leader each, drawn by band, so that a node has other leaders in other bands.
     entries = signed.join(nodes.select("_rid"), "_rid", "left_semi").select("_rid", F.posexplode("bands").alias("band", "h"))
     draw = F.struct(F.xxhash64("band", "_rid"), "_rid")
     heads = written(entries.groupBy("band", "h").agg(F.min(draw).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h", F.col("m._rid").alias("leader")), "buckets")
     members = written(entries.join(heads, ["band", "h"]).select("band", "h", "_rid", "leader"), "members")
     free_shuffles(spark)
-    pairs = written(members.where("leader <> _rid").select(F.least("leader", "_rid").alias("a"), F.greatest("leader", "_rid").alias("b")).distinct(), "pairs")
-    links, rounds, met = _links(pairs, nodes, source, size, threshold), 1, pairs.count() if stats is not None else 0
+    drawn = written(members.where("leader <> _rid").select(F.least("leader", "_rid").alias("a"), F.greatest("leader", "_rid").alias("b")).distinct(), "drawn")
+    dropped(members)
+    # A family: the nodes that buckets connect.  Whole texts are fetched once, for families alone; the
+    # id finds a text, its digest tells rows of one id apart.
+    families = components(drawn).withColumnRenamed("c", "f")
+    wanted = families.select(F.col("v").alias("_rid")).join(nodes.select("_rid", "_id", F.col("_key").alias("_wanted")), "_rid")
+    fetched = docs.select(F.xxhash64("doc_id").alias("_id"), "text").join(wanted, "_id").where(F.unhex(F.sha2(normalised(F.col("text")), 256)) == F.col("_wanted"))
+    texts = written(fetched.groupBy("_rid").agg(F.first("text").alias("text")), "texts")
+    free_shuffles(spark)
+    sketch = signed.select("_rid", "sketch")
+    sketched = drawn.join(sketch.select(F.col("_rid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("_rid").alias("b"), F.col("sketch").alias("sb")), "b")
+    pairs = written(sketched.select("a", "b", "sa", "sb").mapInArrow(_promising(least), "a bigint, b bigint"), "pairs")
+    both = pairs.join(texts.select(F.col("_rid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("_rid").alias("b"), F.col("text").alias("tb")), "b")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # whole texts: few rows at once
+        links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(size, threshold), "a bigint, b bigint"), "links")
     labels = components(links)
-    open_members = members.where("leader <> _rid").select("band", "h", "_rid")  # those that have not led their bucket
-    while True:
-        # Buckets whose members are still in several classes get more leaders; all others are done.
-        now = open_members.join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))
-        mixed_up = now.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "h")
-        rest = written(now.join(mixed_up, ["band", "h"]), "rest")
-        if rest.isEmpty():
-            break
-        drawn = F.struct(F.xxhash64("band", "_rid"), "_rid", "c")
-        lead = written(rest.groupBy("band", "h", F.pmod(F.xxhash64("_rid", F.lit(rounds)), F.lit(leaders)).alias("g")).agg(F.min(drawn).alias("m")).select("band", "h", F.col("m._rid").alias("leader"), F.col("m.c").alias("lc")), "leaders")
-        more = rest.join(lead, ["band", "h"]).where("c <> lc").select(F.least("leader", "_rid").alias("a"), F.greatest("leader", "_rid").alias("b")).distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(more)
-        found = _links(more, nodes, source, size, threshold)
-        rounds += 1
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        open_members = rest.join(lead.withColumnRenamed("leader", "_rid"), ["band", "h", "_rid"], "left_anti").select("band", "h", "_rid")
-        if stats is not None:
-            met += more.count()
+
+    # Families that hold several classes: members outside the largest class (outsiders) meet all members
+    # of other classes, block by block; blocks bound what a task holds.
+    now = written(families.withColumnRenamed("v", "_rid").join(labels.withColumnRenamed("v", "_rid"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid")), "classed")
+    per_class = now.groupBy("f", "c").agg(F.count(F.lit(1)).alias("n"))
+    per_family = per_class.groupBy("f").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+    mixed_up = written(per_family.select("f", F.col("m.c").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil((F.col("n") - F.col("m.n")) / block).cast("int").alias("ub")), "mixed")
+    rest = now.join(mixed_up, "f").join(signed.select("_rid", "sketch", "bands"), "_rid").join(texts, "_rid")
+    fall = F.xxhash64("_rid")
+    columns = ("_rid", "c", "sketch", "bands", "text")
+    outside = rest.where("c <> main").select("f", F.pmod(fall, "ub").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
+    inside = rest.select("f", F.explode(F.sequence(F.lit(0), F.col("ub") - 1)).alias("i"), F.pmod(fall, "nb").cast("int").alias("j"), F.lit(1).alias("side"), *columns)
+    more = written(outside.unionByName(inside).groupBy("f", "i", "j").applyInArrow(_across(least, threshold, size), "a bigint, b bigint"), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     if stats is not None:
-        stats.update(rounds=rounds, pairs=met, links=links.count())
+        stats.update(drawn=drawn.count(), pairs=pairs.count(), more=more.count(), links=links.count())
+    dropped(texts)
 
     by_class = nodes.join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))
     classes = written(by_class.groupBy("c").agg(F.min("m").alias("best"), F.sum("n").alias("class_size")), "classes")

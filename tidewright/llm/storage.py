@@ -51,9 +51,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let the driver's cleaner remove shuffle files of plans that are no longer referenced."""
+    """Let the driver's cleaner remove shuffle files of plans that are no longer referenced.
+
+    The session holds on to the last query it ran, so a query of one row runs first."""
     import gc
 
+    spark.range(1).collect()
     gc.collect()
     spark._jvm.System.gc()
 

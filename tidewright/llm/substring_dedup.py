@@ -18,13 +18,14 @@ spans is held by several tasks, each with its own copy of the automaton.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.storage import dropped, free_shuffles, need, read_table, written
+from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
 
 WINDOW = 13
 SPANS_A_TASK = 20_000
@@ -128,7 +129,7 @@ def _split(window: int, buckets: int):
             refs = lead & followed[group] if len(h) else lead
             some = ~lead | refs
             for t, cover, owners, ref in _mark_rows(least[some], pos[some], text[some], refs[some]):
-                rows.append(_entry(int(ids[t]) % buckets, 1, int(ids[t]), int(check[t]), cover, owners, ref))
+                rows.append(_entry(int(ids[t]) % buckets, 1, int(ids[t]), int(check[t]) & 0xFFFF, cover, owners, ref))
             h, text, pos = h[lead], text[lead], pos[lead]
             bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
             order = np.lexsort((pos, text, bucket))
@@ -139,9 +140,10 @@ def _split(window: int, buckets: int):
                 t, p = text[s], pos[s]
                 first = np.concatenate([[True], t[1:] != t[:-1]])
                 starts = np.flatnonzero(first)
-                docs = np.stack([ids[t[starts]], check[t[starts]], np.diff(np.append(starts, len(t)))], 1)
+                n = np.diff(np.append(starts, len(t)))
+                docs = struct.pack("<q", len(starts)) + _planes(np.diff(ids[t[starts]], prepend=0).view(np.uint64), 8) + _planes((check[t[starts]] & 0xFFFF).astype(np.uint64), 2) + _planes(n.astype(np.uint64), 4)
                 delta = np.where(first, p, p - np.concatenate([[0], p[:-1]]))
-                rows.append(_entry(int(k), 0, None, None, _planes(h[s] & LOW48, 6), docs.astype("<i8").T.tobytes(), _planes(delta.astype(np.uint64), 4)))
+                rows.append(_entry(int(k), 0, None, None, _planes(h[s] & LOW48, 6), docs, _planes(delta.astype(np.uint64), 4)))
             names = [f.split()[0] for f in ENTRIES.split(", ")]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
@@ -155,9 +157,10 @@ def _owners(key, table):
     out = [[], [], [], [], []]
     hashes, ids, checks, places = [], [], [], []
     for row in table.filter(pa.array(kind == 0)).select(["a", "b", "c"]).to_pylist():
-        docs = np.frombuffer(row["b"], "<i8").reshape(3, -1)
+        (k,) = struct.unpack_from("<q", row["b"])
+        docs = [np.cumsum(_unplanes(row["b"][8 : 8 + 8 * k], 8).view(np.int64)), _unplanes(row["b"][8 + 8 * k : 8 + 10 * k], 2).astype(np.int64)]
         delta = _unplanes(row["c"], 4).astype(np.int64)
-        n = docs[2]
+        n = _unplanes(row["b"][8 + 10 * k :], 4).astype(np.int64)
         first = np.cumsum(n) - n
         run = np.cumsum(delta)
         hashes.append(_unplanes(row["a"], 6))
@@ -337,15 +340,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     loses nothing and takes nothing.  Rows that repeat a doc_id are not smaller than each other."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.coalesce("text", F.lit(""))).alias("check"))
+    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.coalesce("text", F.lit(""))) % 65536).alias("check"))
     entries = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_split(window, buckets), ENTRIES)
-    marks = written(entries.groupBy("bucket").applyInArrow(_owners, MARKS), "marks")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
+        marks = written(entries.groupBy("bucket").applyInArrow(_owners, MARKS), "marks")
     free_shuffles(spark)
     grouped = marks.groupBy("doc_id", "check").agg(*(F.collect_list(c).alias(c) for c in ("cover", "owners", "refs")))
     joined = rows.join(grouped, ["doc_id", "check"], "left").withColumn("_rid", F.monotonically_increasing_id())
     parts = joined.select("doc_id", "_rid", "text", "cover", "owners", "refs").mapInArrow(_spans(window), "doc_id bigint, _rid bigint, n_words bigint, kept_sha256 string, text string, spans array<struct<owner:bigint,start:int,words:binary>>, refs array<binary>")
-    parts = written(parts, "spans")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
+        parts = written(parts, "spans")
     free_shuffles(spark)
     spans = parts.select("_rid", F.explode("spans").alias("s")).select("s.owner", "_rid", "s.start", "s.words")
     refs = parts.select(F.col("doc_id").alias("owner"), F.explode("refs").alias("words"))

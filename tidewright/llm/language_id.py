@@ -118,7 +118,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, rate
     return {"languages": languages, "table": table, "bias": bias, "temperature": t, "threshold": float(min(0.5, 0.9 * np.quantile(top, reject_share)))}
 
 
-def scores(texts: list[str], model: dict, chunk: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def scores(texts: list[str], model: dict, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(index of the best language, its probability) for each text; ``chunk`` bounds the bytes at once."""
     best, prob, part, size = [], [], [], 0
 

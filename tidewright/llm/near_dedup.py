@@ -138,7 +138,7 @@ def _signed(bands: int, rows: int, size: int, seed: int):
             begin = 0
             while begin < len(texts):
                 stop, held = begin, 0
-                while stop < len(texts) and (stop == begin or held + len(texts[stop] or "") <= 6 << 20) and stop - begin < 4000:
+                while stop < len(texts) and (stop == begin or held + len(texts[stop] or "") <= 2 << 20) and stop - begin < 2000:
                     held += len(texts[stop] or "")
                     stop += 1
                 sig = signatures(*weighted_shingles(texts[begin:stop], size), stop - begin, bands * rows, seed)
@@ -234,7 +234,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     spark = docs.sparkSession
     least = least_estimate(threshold, bands * rows)
     source = docs.select("doc_id", "text").withColumn("_key", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="4000"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
         signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(_signed(bands, rows, size, seed), "_rid bigint, doc_id bigint, _key binary, sketch binary, bands array<bigint>"), "signed")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "_rid", "doc_id"))
     groups = written(signed.groupBy("_key").agg(first.alias("m"), F.count(F.lit(1)).alias("n")), "nodes")

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.exact_dedup import exact_dedup
+from tidewright.llm.exact_dedup import exact_dedup, normalised
 from tidewright.llm.language_id import fit, identify
 from tidewright.llm.mixing import mix
 from tidewright.llm.near_dedup import near_dedup
 from tidewright.llm.piece_codec import decode_pieces, encode_pieces
-from tidewright.llm.storage import held_out, written
+from tidewright.llm.storage import free_shuffles, held_out, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,20 +28,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
-def _staying(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each doc_id of ``keys``.  A null id stays if ``keys`` has it."""
-    keys = written(keys.select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.select(*COLUMNS).join(keys, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _staying(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
+    kept = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.unhex("text_sha256").alias("_sha")).distinct(), "kept")
+    free_shuffles(spark)
+    rows = docs.select(*COLUMNS, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"))
+    staying = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_sha")), "left_semi")
+    return staying.dropDuplicates(["doc_id", "_digest"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest doc_id."""
-    return _staying(docs, near_dedup(docs).where("kept"))
+    kept = written(near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.memory import returning
 from tidewright.llm.storage import held_out, need, read_table
 
 BITS = 14
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, rate
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))])
     key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED))
     drawn = known.select("lang", "text", key.alias("_key")).where(F.pmod("_key", F.lit(1 << 40)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)) * (1 << 40))
-    rows = sorted(drawn.mapInArrow(_features, "lang string, _key long, ids binary, weights binary").collect(), key=lambda r: (r["_key"], r["lang"], r["ids"]))
+    rows = sorted(drawn.mapInArrow(returning(_features), "lang string, _key long, ids binary, weights binary").collect(), key=lambda r: (r["_key"], r["lang"], r["ids"]))
     languages = sorted({r["lang"] for r in rows})
     label = np.array([languages.index(r["lang"]) for r in rows])
     data = [(np.frombuffer(r["ids"], "<u2").astype(np.int64), np.frombuffer(r["weights"], "<f4").astype(np.float64)) for r in rows]
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             rejected = (lang == UNKNOWN) | (score < m["threshold"])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected.astype(bool))], [*names, "lang_pred", "score", "rejected"])
 
-    return marked.mapInArrow(judged, schema)
+    return marked.mapInArrow(returning(judged), schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.components import components
 from tidewright.llm.exact_dedup import normalised
+from tidewright.llm.memory import returning
 from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
 from tidewright.llm.substring_dedup import hash_words, mixed
 
@@ -235,7 +236,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     least = least_estimate(threshold, bands * rows)
     source = docs.select("doc_id", "text").withColumn("_key", F.unhex(F.sha2(normalised(F.col("text")), 256)))
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
-        signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(_signed(bands, rows, size, seed), "_rid bigint, doc_id bigint, _key binary, sketch binary, bands array<bigint>"), "signed")
+        signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(returning(_signed(bands, rows, size, seed)), "_rid bigint, doc_id bigint, _key binary, sketch binary, bands array<bigint>"), "signed")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "_rid", "doc_id"))
     groups = written(signed.groupBy("_key").agg(first.alias("m"), F.count(F.lit(1)).alias("n")), "nodes")
     nodes = groups.select("_key", F.col("m._rid").alias("_rid"), F.xxhash64("m.doc_id").alias("_id"), "m", "n")
@@ -257,10 +258,10 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     free_shuffles(spark)
     sketch = signed.select("_rid", "sketch")
     sketched = drawn.join(sketch.select(F.col("_rid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("_rid").alias("b"), F.col("sketch").alias("sb")), "b")
-    pairs = written(sketched.select("a", "b", "sa", "sb").mapInArrow(_promising(least), "a bigint, b bigint"), "pairs")
+    pairs = written(sketched.select("a", "b", "sa", "sb").mapInArrow(returning(_promising(least)), "a bigint, b bigint"), "pairs")
     both = pairs.join(texts.select(F.col("_rid").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("_rid").alias("b"), F.col("text").alias("tb")), "b")
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # whole texts: few rows at once
-        links = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(size, threshold), "a bigint, b bigint"), "links")
+        links = written(both.select("a", "b", "ta", "tb").mapInArrow(returning(_verified(size, threshold)), "a bigint, b bigint"), "links")
     labels = components(links)
 
     # Families that hold several classes: members outside the largest class (outsiders) meet all members

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewright.llm.memory import returning
 from tidewright.llm.storage import need, read_table
 
 MODEL = "piece_bpe_32k.model"
@@ -301,7 +302,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, dropout: float = DR
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), ids], [*names, "ids"])
 
-    return docs.select(*names, "text").mapInArrow(encoded, ddl + "ids array<int>")
+    return docs.select(*names, "text").mapInArrow(returning(encoded), ddl + "ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: str | None = None, digest: bool = False) -> DataFrame:
@@ -328,7 +329,7 @@ def decode_pieces(encoded: DataFrame, model: str | None = None, digest: bool = F
             kinds = [pa.int64(), pa.int64(), pa.string()] if digest else [pa.string()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, *added])
 
-    return encoded.select(*names, "ids").mapInArrow(decoded, ddl)
+    return encoded.select(*names, "ids").mapInArrow(returning(decoded), ddl)
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tidewright.llm.exact_dedup import exact_dedup, normalised
 from tidewright.llm.language_id import fit, identify
 from tidewright.llm.mixing import mix
 from tidewright.llm.near_dedup import near_dedup
-from tidewright.llm.piece_codec import decode_pieces, encode_pieces
+from tidewright.llm.piece_codec import encode_pieces
 from tidewright.llm.storage import free_shuffles, held_out, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,10 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The encoded corpus: doc_id, lang, source, n_chars, ids, and whether they decode to the text."""
-    keyed = docs.select("doc_id", "lang", "source", "n_chars", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    encoded = encode_pieces(keyed).withColumnRenamed("text_sha256", "_given").withColumn("_ids", F.col("ids"))
-    back = decode_pieces(encoded, digest=True)
-    return back.select("doc_id", "lang", "source", "n_chars", F.col("_ids").alias("ids"), "n_pieces", "ids_crc32", (F.col("text_sha256") == F.col("_given")).alias("lossless"))
+    return encode_pieces(docs.select("doc_id", "lang", "source", "n_chars", "text"), verify=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("pieces", pieces)]

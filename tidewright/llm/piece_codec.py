@@ -135,8 +135,8 @@ class PieceCodec:
         keep = np.ones(len(symbols), bool)
         for low, high in ((1, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 16), (16, 24), (24, 40), (40, LONG)):
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            for part in range(0, len(rows), 1 << 16):
-                self._merge(symbols, keep, begins[rows[part : part + (1 << 16)]], lengths[rows[part : part + (1 << 16)]], variants[rows[part : part + (1 << 16)]], high, dropout, seed)
+            for part in range(0, len(rows), 1 << 14):
+                self._merge(symbols, keep, begins[rows[part : part + (1 << 14)]], lengths[rows[part : part + (1 << 14)]], variants[rows[part : part + (1 << 14)]], high, dropout, seed)
         for k in np.flatnonzero(lengths > LONG):
             self._merge_long(symbols, keep, int(begins[k]), int(lengths[k]), int(variants[k]), dropout, seed)
         kept = np.concatenate([[0], np.cumsum(keep)])
@@ -268,7 +268,7 @@ def text_key(texts: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in texts], np.uint64)
 
 
-def parts(texts: list[str], most: int = 2 << 20):
+def parts(texts: list[str], most: int = 1 << 19):
     """Index ranges of at most about ``most`` characters; a longer text is a range of its own."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -280,15 +280,17 @@ def parts(texts: list[str], most: int = 2 << 20):
         yield begin, len(texts)
 
 
-def encode_pieces(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str | None = "doc_id") -> DataFrame:
-    """``docs`` with ``ids`` in place of the text (and of a column of that name).
+def encode_pieces(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str | None = "doc_id", verify: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` in place of the text (and of a column of that name).  ``verify`` adds
+    n_pieces, ids_crc32 and lossless: whether the ids decode to the text.
 
     Null text is encoded as the empty one: a single space piece.  ``key`` names the column that
     draws the variants (null counts as one more key); None takes the text itself, so that equal
     texts are segmented alike.  Repeated rows get the same ids."""
     need(docs, "text", *([key] if key else []))
     path = model or default_model()
-    names = [c for c in docs.columns if c not in ("text", "ids")]
+    added = ["n_pieces", "ids_crc32", "lossless"] if verify else []
+    names = [c for c in docs.columns if c not in ("text", "ids", *added)]
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
 
     def encoded(batches):
@@ -300,9 +302,12 @@ def encode_pieces(docs: DataFrame, model: str | None = None, dropout: float = DR
                 found = c.encode_batch(texts[i:j], keys[i:j], dropout, seed, variants)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), ids], [*names, "ids"])
+                more = []
+                if verify:
+                    more = [pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()), pa.array([c.decode(x.tolist()) == t for x, t in zip(found, texts[i:j], strict=True)])]
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in names), ids, *more], [*names, "ids", *added])
 
-    return docs.select(*names, "text").mapInArrow(returning(encoded), ddl + "ids array<int>")
+    return docs.select(*names, "text").mapInArrow(returning(encoded), ddl + "ids array<int>" + (", n_pieces bigint, ids_crc32 bigint, lossless boolean" if verify else ""))
 
 
 def decode_pieces(encoded: DataFrame, model: str | None = None, digest: bool = False) -> DataFrame:

@@ -370,3 +370,17 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w) t),
+f AS (SELECT k, min(doc_id) AS o FROM win GROUP BY k),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN f ON win.k = f.k WHERE f.o < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hit CROSS JOIN (SELECT unnest(range(0, 13)) AS j) t),
+e AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w),
+k AS (SELECT e.doc_id, count(gone.p) AS n_removed, coalesce(array_to_string(list(e.x ORDER BY e.p) FILTER (WHERE gone.p IS NULL), ' '), '') AS t
+      FROM e LEFT JOIN gone ON e.doc_id = gone.doc_id AND e.p = gone.p GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id
+"""

@@ -113,8 +113,13 @@ QUERIES = {
     "display_names": "SELECT page_id AS id, LASTPART(url) AS name FROM pages",
     # floor, one decimal under ten percent
     "reduction_label": f"WITH {FILES}, r AS (SELECT id, IDIV((size - CAST(floor(size * 0.9) AS BIGINT) + id % 300) * 1000, size + 300) AS permille FROM files) SELECT id, CASE WHEN permille < 100 THEN CAST(IDIV(permille, 10) AS VARCHAR(9)) || '.' || CAST(permille % 10 AS VARCHAR(9)) ELSE CAST(IDIV(permille, 10) AS VARCHAR(9)) END || ' %' AS label FROM r",
-    # decimal units
-    "size_label": f"WITH {FILES} SELECT id, CASE WHEN size < 1000 THEN CAST(size AS VARCHAR(20)) || ' B' WHEN size < 1000000 THEN CAST(IDIV(size + 500, 1000) AS VARCHAR(20)) || ' KB' ELSE CAST(IDIV(size + 500000, 1000000) AS VARCHAR(20)) || ' MB' END AS label FROM files",
+    # decimal units, three significant digits, halves up; the unit is chosen before rounding
+    "size_label": """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS BIGINT) * CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 977 WHEN 2 THEN 700001 ELSE 0 END + l_linenumber AS size FROM lineitem),
+      u AS (SELECT *, CASE WHEN size < 1000 THEN CAST(1 AS BIGINT) WHEN size < 1000000 THEN 1000 WHEN size < 1000000000 THEN 1000000 ELSE 1000000000 END AS unit FROM s),
+      d AS (SELECT *, CASE WHEN unit = 1 OR size >= 100 * unit THEN 1 WHEN size >= 10 * unit THEN 10 ELSE 100 END AS parts FROM u),
+      r AS (SELECT *, IDIV(size * parts * 2 + unit, unit * 2) AS n FROM d)
+      SELECT l_orderkey, l_linenumber, size, CAST(IDIV(n, parts) AS VARCHAR(20)) || CASE parts WHEN 1 THEN '' WHEN 10 THEN '.' || CAST(n % 10 AS VARCHAR(9)) ELSE '.' || lpad(CAST(n % 100 AS VARCHAR(9)), 2, '0') END
+        || CASE unit WHEN 1 THEN CASE WHEN size = 1 THEN ' byte' ELSE ' bytes' END WHEN 1000 THEN ' kB' WHEN 1000000 THEN ' MB' ELSE ' GB' END AS label FROM r""",
     # Keys and messages without their empty parts
     "options_key": "SELECT p_partkey AS id, concat_ws('+', CASE WHEN p_size > 10 THEN 'q' || CAST(p_size AS VARCHAR(9)) END, CASE WHEN p_size % 2 = 0 THEN 'strip' END, CASE WHEN p_retailprice > 1000 THEN 'photos' END) AS options_key FROM part",
     # error sentences from a dimension table, with a default

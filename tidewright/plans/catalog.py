@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.operators import files, graph, tabular
+from tidewright.operators import files, graph, pictures, tabular
 from tidewright.plans import savings
 from tidewright.plans.dialect import oracle, spark_query
 from tidewright.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (savings, graph, progress, files):
+for module in (savings, graph, progress, files, pictures):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
 for name, sql in tabular.QUERIES.items():

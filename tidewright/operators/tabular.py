@@ -114,7 +114,7 @@ QUERIES = {
     # floor, one decimal under ten percent
     "reduction_label": f"WITH {FILES}, r AS (SELECT id, IDIV((size - CAST(floor(size * 0.9) AS BIGINT) + id % 300) * 1000, size + 300) AS permille FROM files) SELECT id, CASE WHEN permille < 100 THEN CAST(IDIV(permille, 10) AS VARCHAR(9)) || '.' || CAST(permille % 10 AS VARCHAR(9)) ELSE CAST(IDIV(permille, 10) AS VARCHAR(9)) END || ' %' AS label FROM r",
     # decimal units, three significant digits, halves up; the unit is chosen before rounding
-    "size_label": """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS BIGINT) * CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 977 WHEN 2 THEN 700001 ELSE 0 END + l_linenumber AS size FROM lineitem),
+    "size_label": """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 977 WHEN 2 THEN 700001 ELSE 0 END + l_linenumber AS size FROM lineitem),
       u AS (SELECT *, CASE WHEN size < 1000 THEN CAST(1 AS BIGINT) WHEN size < 1000000 THEN 1000 WHEN size < 1000000000 THEN 1000000 ELSE 1000000000 END AS unit FROM s),
       d AS (SELECT *, CASE WHEN unit = 1 OR size >= 100 * unit THEN 1 WHEN size >= 10 * unit THEN 10 ELSE 100 END AS parts FROM u),
       r AS (SELECT *, IDIV(size * parts * 2 + unit, unit * 2) AS n FROM d)

@@ -94,7 +94,8 @@ def save_to_folder(results: DataFrame, folder: str) -> DataFrame:
     """K5: writes every result (id, name, content) into ``folder``, a place that all executors share,
     and returns (id, saved_path, error_code).  Null content is ``noResult``; a failed write is data.
 
-    Runs at once, and once: the outcome is checkpointed, then the staged names go."""
+    Runs at once, and once: the outcome is checkpointed (a checkpoint folder must be set), then the
+    staged names go."""
     job = f"staged-{uuid.uuid4().hex}"
     out = results.select("id", "name", "content").mapInPandas(partial(_published, folder=folder, job=job), SAVED).checkpoint()
     for name in os.listdir(folder):

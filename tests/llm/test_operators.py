@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,26 @@ def test_scoring(odd, empty):
     assert context_mixing.score(empty, F.lit(True), bits=16).count() == 0
 
 
+def test_contexts_share_no_counts(spark):
+    """The size of the directory has no effect on a score, and every context's odds are those of its counts."""
+    draw = random.Random(3)
+    rows = [(i, " ".join("".join(draw.choices("abcdefghij", k=draw.randint(1, 9))) for _ in range(20))) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") >= 50, bits=b).collect()} for b in (10, 20))
+    assert all(abs(few[i] - many[i]) < 1e-6 * abs(many[i]) for i in few)
+    words = [b"abc", b"abd", b"b", b"\n"]
+    pairs = spark.createDataFrame([(0, bytearray(w), 10, 0) for w in words], "class int, word binary, c bigint, s bigint")
+    tables = context_mixing.context_tables(pairs, pairs.select("word", "c", "s"), len(words))
+    data, _ = context_mixing.spelled(pa.array(words, pa.large_binary()))
+    start, depth = context_mixing.word_places(data)
+    key = context_mixing.contexts(data, start, depth, np.zeros(len(data), int), (0,))[0]
+    odds = lambda k, node: tables.odds[tables.find(k[:1])[0] + node] / context_mixing.SCALE
+    low = context_mixing._second(key[2:3], data[2:3] >> 4)
+    # "c" and "d" begin alike and part at the second bit of their last three (0011, 0100).
+    assert abs(odds(low, 2) - np.log((10 + 0.4) / (10 + 0.4))) < 1e-3 and abs(odds(low, 1) - np.log(0.4 / 20.4)) < 1e-3
+    assert not tables.find(np.array([16], np.uint64))[0] < len(tables.keys) * 16
+
+
 def test_bit_probabilities_sum_to_one():
     """The code of all one-byte words under untrained tables is a distribution."""
     tables = [np.zeros(1 << 16, np.int16) for _ in context_mixing.ORDERS]

@@ -220,8 +220,8 @@ def test_contexts_share_no_counts(spark):
     few, many = ({r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") >= 50, bits=b).collect()} for b in (10, 20))
     assert all(abs(few[i] - many[i]) < 1e-6 * abs(many[i]) for i in few)
     words = [b"abc", b"abd", b"b", b"\n"]
-    pairs = spark.createDataFrame([(0, bytearray(w), 10, 0) for w in words], "class int, word binary, c bigint, s bigint")
-    tables = context_mixing.context_tables(pairs, pairs.select("word", "c", "s"), len(words))
+    pairs = spark.createDataFrame([(0, bytearray(w), 10, *[0] * context_mixing.FOLDS) for w in words], f"class int, word binary, {context_mixing.LONGS}")
+    tables, _ = context_mixing.context_tables(pairs, pairs.drop("class"), len(words))
     data, _ = context_mixing.spelled(pa.array(words, pa.large_binary()))
     start, depth = context_mixing.word_places(data)
     key = context_mixing.contexts(data, start, depth, np.zeros(len(data), int), (0,))[0]
@@ -232,6 +232,18 @@ def test_contexts_share_no_counts(spark):
     assert not tables.find(np.array([16], np.uint64))[0] < len(tables.keys) * 16
 
 
+def test_few_training_documents_count(spark):
+    """A held-out text is scored with all training documents, however few."""
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(200)]
+    rows = [(i, " ".join(draw.choices(words, k=100))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = context_mixing.score(docs, F.col("doc_id") >= 10, bits=16).where("held_out").collect()
+    assert len(got) == 10 and all(r.bits_per_byte < 3 for r in got)
+    one = context_mixing.score(docs.where("doc_id in (1, 10)"), F.col("doc_id") == 10, bits=16).collect()
+    assert all(r.bits_per_byte < 8 for r in one)
+
+
 def test_bit_probabilities_sum_to_one():
     """The code of all one-byte words under untrained tables is a distribution."""
     tables = [np.zeros(1 << 16, np.int16) for _ in context_mixing.ORDERS]

@@ -149,6 +149,13 @@ def test_words_are_encoded_as_in_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_matched_by_exact_case():
+    made, _ = token_store.tokenizer(token_store.default_tokenizer())
+    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>, b", "A<|endoftext|>B, <|StartOfText|>. C.", "<|ENDOFTEXT|> <|endoftext|> É<|ENDOFTEXT|>"]
+    ids, n = token_store.encode_texts(texts, token_store.default_tokenizer())
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces(spark, odd, empty):
     import sentencepiece
 

@@ -270,6 +270,12 @@ def tokenizer(path: str):
     return made, mark[0] if len(mark) == 1 else None
 
 
+@cache
+def added_tokens(path: str) -> tuple[str, ...]:
+    """Lower-cased texts of the tokens that the library looks for before it lower-cases."""
+    return tuple(t.content.lower() for t in tokenizer(path)[0].get_added_tokens_decoder().values())
+
+
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, ids of each text) as the library gives them for the whole texts.
 
@@ -282,8 +288,11 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     del words
     codes, given = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
     # A comma or stop behind an ASCII letter is a token of its own, and the tokenizer lower-cases: fewer words are left to encode.
-    tail = np.fromiter(((w[-1:] == ",") + 2 * (w[-1:] == ".") if w[-2:-1].isalpha() and w[-2:-1].isascii() else 0 for w in given), np.int64, len(given))
-    stems = pa.array([(w[:-1] if k else w).lower() if w.isascii() else (w[:-1] if k else w) for w, k in zip(given, tail.tolist(), strict=True)], pa.large_string()).dictionary_encode()
+    # A word that holds an added token in any case stays as it is: such a token is matched by exact case.
+    added = added_tokens(path)
+    kept = [w.isascii() and any(a in w.lower() for a in added) for w in given]
+    tail = np.fromiter(((w[-1:] == ",") + 2 * (w[-1:] == ".") if not k and w[-2:-1].isalpha() and w[-2:-1].isascii() else 0 for w, k in zip(given, kept, strict=True)), np.int64, len(given))
+    stems = pa.array([w if same else (w[:-1] if k else w).lower() if w.isascii() else (w[:-1] if k else w) for w, k, same in zip(given, tail.tolist(), kept, strict=True)], pa.large_string()).dictionary_encode()
     stem, uniques = stems.indices.to_numpy(zero_copy_only=False), stems.dictionary.to_pylist()
     ends_in = np.array([-1, *(made.encode(c, add_special_tokens=False).ids[0] for c in ",.")], np.int32)
     sizes, parts = np.zeros(len(uniques), np.int64), []

@@ -1,5 +1,6 @@
 """Brute force, round trips and odd tables for the training-data operators."""
 
+import collections
 import hashlib
 import random
 
@@ -54,9 +55,33 @@ def family(n, seed):
     return out
 
 
+def brute_shingles(text):
+    words = lower(text).encode().split()
+    words += [None] * (5 - len(words))
+    return collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def brute_similarity(a, b):
+    return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a.keys() | b.keys()) for d in a.keys() & b.keys())
+
+
+#: Two different words of 1,024 letters that one polynomial of degree 1,023 over 2^64 maps to the same value.
+MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+CLASH = (MORSE, MORSE.translate(str.maketrans("ab", "ba")))
+
+
+def test_clashing_words_are_different_words(spark):
+    others = [f"w{i}" for i in range(30)]
+    rows = [(k + 1, " ".join([*others[:4], w, *others[4:12]])) for k, w in enumerate((*CLASH, CLASH[1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13}
+    near = spark.createDataFrame([(1, CLASH[0]), (2, CLASH[1])], "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.near_dedup(near).collect())
+
+
 def test_near_dedup_is_brute_force(spark, odd, empty):
-    rows = family(60, 1) + [(100 + i, t) for i, t in family(30, 2)] + [(200, "solo words here")]
-    sets = {i: near_dedup._one(t, 5) for i, t in rows}
+    rows = family(36, 1) + [(100 + i, t) for i, t in family(12, 2)] + [(200, "solo words here")]
+    sets = {i: brute_shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -64,7 +89,7 @@ def test_near_dedup_is_brute_force(spark, odd, empty):
 
     for i in sets:
         for j in sets:
-            if i < j and near_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8:
+            if i < j and brute_similarity(sets[i], sets[j]) >= 0.8:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
@@ -76,7 +101,8 @@ def test_near_dedup_is_brute_force(spark, odd, empty):
 
 def test_signatures_estimate_weighted_similarity():
     a, b = ["p q r s t " * 9 + "one two three four five six seven"], ["p q r s t " * 8 + "one two three four five nine ten"]
-    true = near_dedup.probability_jaccard(near_dedup._one(a[0], 5), near_dedup._one(b[0], 5))
+    true = near_dedup.exact_similarity(a[0], b[0])
+    assert abs(true - brute_similarity(brute_shingles(a[0]), brute_shingles(b[0]))) < 1e-9
     sig = [near_dedup.signatures(*near_dedup.weighted_shingles(t), 1, 4000)[0] for t in (a, b)]
     assert abs(near_dedup.estimate(*sig) - true) < 0.04
 
@@ -109,6 +135,17 @@ def test_substring_dedup_is_brute_force(spark, odd, empty, window, monkeypatch):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def poor(words):
+    return np.array([len(w) % 2 for w in words.to_pylist()], np.uint64)
+
+
+def test_substring_dedup_settles_clashes_by_words(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("aa", "b", "cc", "d", "eee")) for _ in range(40))) for i in range(60)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 4, poor)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_substring(rows, 4)
+
+
 def test_automaton_knows_substrings():
     a = substring_dedup.SuffixAutomaton()
     a.add("a b a b c".split())

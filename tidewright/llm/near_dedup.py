@@ -27,7 +27,7 @@ from tidewright.llm.components import components
 from tidewright.llm.exact_dedup import normalised
 from tidewright.llm.memory import returning
 from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
-from tidewright.llm.substring_dedup import hash_words, mixed
+from tidewright.llm.substring_dedup import BATCH, hash_words, mixed
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -68,6 +68,43 @@ def weighted_shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.
     return (key >> np.uint64(44)).astype(np.int64), key & np.uint64((1 << 44) - 1), np.diff(np.append(at, len(new)))
 
 
+def _named(codes: np.ndarray, more: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Integers 0 ... that are the same exactly where both numbers are the same."""
+    names, at = np.unique(codes * np.int64(width) + more, return_inverse=True)
+    return at.reshape(-1), len(names)
+
+
+def named_shingles(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``weighted_shingles``, but a shingle's number is the same in two texts exactly if its words are:
+    words are named by a dictionary, pairs of names by integers, so no hash decides."""
+    words = [words_of(t) for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    length = np.maximum(n, size)
+    coded = pa.array([w for ws in words for w in ws], pa.large_binary()).dictionary_encode()
+    own = np.zeros(int(length.sum()), np.int64)  # 0 fills up short texts
+    starts = np.cumsum(length) - length
+    if n.sum():
+        own[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())] = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    kinds = len(coded.dictionary) + 1
+    total, many = own, kinds
+    for k in range(1, size):
+        total = total[: max(0, len(own) - k)]
+        if many * kinds >= 1 << 62:
+            total, many = _named(total, np.zeros(1, np.int64), 1)
+        total, many = total * np.int64(kinds) + own[k : k + len(total)], many * kinds
+    owner = np.repeat(np.arange(len(words)), length)[: len(total)]
+    inside = np.arange(len(total)) + size <= (starts + length)[owner]
+    total, owner = total[inside], owner[inside]
+    if many * len(words) >= 1 << 62:
+        total, many = _named(total, np.zeros(1, np.int64), 1)
+    key = np.sort(owner * np.int64(many) + total)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    key = key[at]
+    return key // many, key % many, np.diff(np.append(at, len(new)))
+
+
 def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, registers: int = BANDS * ROWS, seed: int = SEED) -> np.ndarray:
     """ProbMinHash signatures [text, register] of weighted shingles: the earliest arrival's hash."""
     first, sig = np.full(texts * registers, np.inf), np.zeros(texts * registers, np.uint64)
@@ -176,7 +213,7 @@ def _across(least: float, threshold: float, size: int):
         c = c.copy()
         sketch = _matrix(table.column("sketch").combine_chunks())
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rid), -1)
-        owner, value, weight = weighted_shingles(table.column("text").to_pylist(), size)
+        owner, value, weight = named_shingles(table.column("text").to_pylist(), size)
         begin = np.searchsorted(owner, np.arange(len(rid) + 1))
         n = np.diff(begin)
         plain = np.maximum.reduceat(weight, begin[:-1]) == 1
@@ -212,16 +249,18 @@ def _across(least: float, threshold: float, size: int):
 def _verified(size: int, threshold: float):
     def run(batches):
         for b in batches:
-            found = [probability_jaccard(*(_one(t, size) for t in pair)) >= threshold for pair in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
+            found = [exact_similarity(*pair, size) >= threshold for pair in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
             keep = pa.array(found, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _one(text, size):
-    _, value, weight = weighted_shingles([text], size)
-    return value, weight
+def exact_similarity(a: str | None, b: str | None, size: int = SHINGLE) -> float:
+    """Probability Jaccard similarity of two texts, decided on their words."""
+    owner, value, weight = named_shingles([a, b], size)
+    cut = int(np.searchsorted(owner, 1))
+    return probability_jaccard((value[:cut], weight[:cut]), (value[cut:], weight[cut:]))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block: int = BLOCK, stats: dict | None = None) -> DataFrame:
@@ -235,7 +274,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     spark = docs.sparkSession
     least = least_estimate(threshold, bands * rows)
     source = docs.select("doc_id", "text").withColumn("_key", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000"):
+    with settings(spark, **BATCH):
         signed = written(source.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), "_key", "text").mapInArrow(returning(_signed(bands, rows, size, seed)), "_rid bigint, doc_id bigint, _key binary, sketch binary, bands array<bigint>"), "signed")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "_rid", "doc_id"))
     groups = written(signed.groupBy("_key").agg(first.alias("m"), F.count(F.lit(1)).alias("n")), "nodes")

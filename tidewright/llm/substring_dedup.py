@@ -8,7 +8,9 @@ owner is the smallest document that has it.  A document's windows with a smaller
 spans; each span goes to its owner's shard, which holds the owner's shared passages.  There a
 suffix automaton of those passages reads the span word by word, and the length of the longest
 match that ends at each word (the matching statistic) decides exactly which words go; a hash
-alone removes nothing.
+alone removes nothing.  Where a span holds a window that its owner's automaton lacks (two windows
+share a hash), that window's true owner may be another document: all windows with such a hash are
+gathered by their words, and the smallest document of each word sequence settles them.
 
 Hot passages: inside a task only the smallest document's windows are sent on (the others are
 known to have an owner already), so a window costs one entry a task; a shard with very many
@@ -24,15 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
+from tidewright.llm.memory import returning
 from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
 
 WINDOW = 13
 SPANS_A_TASK = 20_000
-M = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Bytes of text whose windows meet in one bucket, and rows and bytes of a batch of documents.
+BUCKET_BYTES = 24 << 20
+BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2500", "spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
 STEP = 0xD6E8FEB86659FD93
-LOW48 = np.uint64((1 << 48) - 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,23 +51,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string of a large_binary array."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    raw = words.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) if raw is not None else np.zeros(0, np.uint64)
-    at = offsets - offsets[0]
-    ends = np.concatenate([[np.uint64(0)], np.cumsum((data + np.uint64(1)) * np.cumprod(np.full(len(data), M, np.uint64)))])
-    back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), INVERSE, np.uint64))])
-    return mixed((ends[at[1:]] - ends[at[:-1]]) * back[at[:-1]] + np.diff(at).astype(np.uint64))
-
-
-def window_hashes(words: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each string of a large_binary array; callers pass distinct words."""
+    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+
+
+def window_hashes(words: list[list[bytes]], window: int, hashed=hash_words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first word) of every window of every text."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     coded = pa.array([w for ws in words for w in ws], pa.large_binary()).dictionary_encode()
-    h = hash_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if sizes.sum() else np.zeros(0, np.uint64)
+    h = hashed(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if sizes.sum() else np.zeros(0, np.uint64)
     n = max(0, len(h) - window + 1)
     total = np.zeros(n, np.uint64)
     for k in range(window):
@@ -106,7 +102,7 @@ def _mark_rows(owner_of: np.ndarray, pos: np.ndarray, text: np.ndarray, is_ref:
         yield int(text[part[0]]), pos[part][~ref].astype("<u4").tobytes(), owner_of[part][~ref].astype("<i8").tobytes(), np.unique(pos[part][ref]).astype("<u4").tobytes()
 
 
-def _split(window: int, buckets: int):
+def _split(window: int, buckets: int, hashed):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -114,7 +110,7 @@ def _split(window: int, buckets: int):
             ids = ids[by_id]
             check = batch.column("check").to_numpy(zero_copy_only=False).astype(np.int64)[by_id]
             texts = batch.column("text").take(pa.array(by_id)).to_pylist()
-            h, text, pos = window_hashes([words_of(t) for t in texts], window)
+            h, text, pos = window_hashes([words_of(t) for t in texts], window, hashed)
             order = np.argsort(h, kind="stable")  # texts come in ascending id
             h, text, pos = h[order], text[order], pos[order]
             del order
@@ -131,7 +127,7 @@ def _split(window: int, buckets: int):
             for t, cover, owners, ref in _mark_rows(least[some], pos[some], text[some], refs[some]):
                 rows.append(_entry(int(ids[t]) % buckets, 1, int(ids[t]), int(check[t]) & 0xFFFF, cover, owners, ref))
             h, text, pos = h[lead], text[lead], pos[lead]
-            bucket = (h >> np.uint64(48)).astype(np.int64) * buckets >> 16
+            bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((pos, text, bucket))
             h, text, pos, bucket = h[order], text[order], pos[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -143,7 +139,7 @@ def _split(window: int, buckets: int):
                 n = np.diff(np.append(starts, len(t)))
                 docs = struct.pack("<q", len(starts)) + _planes(np.diff(ids[t[starts]], prepend=0).view(np.uint64), 8) + _planes((check[t[starts]] & 0xFFFF).astype(np.uint64), 2) + _planes(n.astype(np.uint64), 4)
                 delta = np.where(first, p, p - np.concatenate([[0], p[:-1]]))
-                rows.append(_entry(int(k), 0, None, None, _planes(h[s] & LOW48, 6), docs, _planes(delta.astype(np.uint64), 4)))
+                rows.append(_entry(int(k), 0, None, None, _planes(h[s], 8), docs, _planes(delta.astype(np.uint64), 4)))
             names = [f.split()[0] for f in ENTRIES.split(", ")]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
@@ -163,7 +159,7 @@ def _owners(key, table):
         n = _unplanes(row["b"][8 + 10 * k :], 4).astype(np.int64)
         first = np.cumsum(n) - n
         run = np.cumsum(delta)
-        hashes.append(_unplanes(row["a"], 6))
+        hashes.append(_unplanes(row["a"], 8))
         ids.append(np.repeat(docs[0], n))
         checks.append(np.repeat(docs[1], n))
         places.append(run - np.repeat(run[first] - delta[first], n))
@@ -248,14 +244,14 @@ class SuffixAutomaton:
         return out
 
 
-def covered_by(automaton: SuffixAutomaton, words: list, window: int) -> np.ndarray:
-    """True for each word in a run of ``window`` words that the automaton has."""
-    ends = np.array(automaton.matching(words)) >= window
+def covered_by(automaton: SuffixAutomaton, words: list, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(True for each word in a run of ``window`` words that the automaton has, starts of the runs that it lacks)."""
+    ends = np.array(automaton.matching(words), np.int64) >= window
     gain = np.zeros(len(words) + 1, np.int64)
     at = np.flatnonzero(ends)
     np.add.at(gain, at - window + 1, 1)
     np.add.at(gain, at + 1, -1)
-    return np.cumsum(gain[:-1]) > 0
+    return np.cumsum(gain[:-1]) > 0, np.flatnonzero(~ends[window - 1 :])
 
 
 # ---- stages -----------------------------------------------------------------------------------
@@ -279,8 +275,10 @@ def _spans(window: int):
                 words = words_of(text)
                 n_words.append(len(words))
                 pos = np.concatenate([np.frombuffer(x, "<u4") for x in cover or [b""]]).astype(np.int64)
+                own = np.concatenate([np.frombuffer(x, "<i8") for x in owners or [b""]])
+                # Rows that repeat an id may share marks: a place that this row has not got is none of its own.
+                own, pos = own[pos + window <= len(words)], pos[pos + window <= len(words)]
                 if len(pos):
-                    own = np.concatenate([np.frombuffer(x, "<i8") for x in owners])
                     order = np.lexsort((pos, own))
                     pos, own = pos[order], own[order]
                     cut = np.flatnonzero((np.diff(pos) != 1) | (np.diff(own) != 0)) + 1
@@ -290,6 +288,7 @@ def _spans(window: int):
                     spans.append([])
                     sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 where = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in ref or [b""]])).astype(np.int64)
+                where = where[where + window <= len(words)]
                 refs.append([b" ".join(words[r[0] : r[-1] + window]) for r in _runs(where)])
             text = [t if s is None else None for t, s in zip(lists[0], sha, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_rid"), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string()), pa.array(spans, SPAN), pa.array(refs, pa.list_(pa.binary()))], ["doc_id", "_rid", "n_words", "kept_sha256", "text", "spans", "refs"])
@@ -304,7 +303,7 @@ def _verify(window: int):
     def run(batches):
         shard, automaton = None, None
         for b in batches:
-            rid, start, cover = [], [], []
+            rid, start, cover, lacking = [], [], [], []
             for owner, salt, kind, r, s, words in zip(*(b.column(c).to_pylist() for c in ("owner", "salt", "kind", "_rid", "start", "words")), strict=True):
                 if (owner, salt) != shard:
                     shard, automaton = (owner, salt), SuffixAutomaton()
@@ -313,12 +312,44 @@ def _verify(window: int):
                     continue
                 rid.append(r)
                 start.append(s)
-                cover.append(np.packbits(covered_by(automaton, words.split(), window)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(cover, pa.binary())], ["_rid", "start", "cover"])
+                words = words.split()
+                found, lacks = covered_by(automaton, words, window)
+                cover.append(np.packbits(found).tobytes())
+                lacking.append([b" ".join(words[k : k + window]) for k in lacks.tolist()])
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(cover, pa.binary()), pa.array(lacking, pa.list_(pa.binary()))], ["_rid", "start", "cover", "lacking"])
 
     return run
 
 
+def _gathered(hashes: np.ndarray, window: int, hashed):
+    """(words, doc_id, _rid, start) of every window whose hash is one of ``hashes`` (ascending)."""
+
+    def run(batches):
+        for b in batches:
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            h, text, pos = window_hashes(words, window, hashed)
+            at = np.flatnonzero(np.isin(h, hashes))
+            found = [b" ".join(words[t][p : p + window]) for t, p in zip(text[at].tolist(), pos[at].tolist(), strict=True)]
+            take = pa.array(text[at])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column("doc_id").take(take), b.column("_rid").take(take), pa.array(pos[at].astype(np.int32))], ["words", "doc_id", "_rid", "start"])
+
+    return run
+
+
+def _settled(parts: DataFrame, rows: DataFrame, lacking: list[bytes], window: int, hashed) -> DataFrame:
+    """Spans (_rid, start, cover) of the windows that share a hash with one of ``lacking``: their owner is the
+    smallest document with the same words."""
+    h = np.unique(window_hashes([w.split() for w in lacking], window, hashed)[0])
+    spark = parts.sparkSession
+    with settings(spark, **BATCH):
+        seen = written(parts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_rid", "text").mapInArrow(_gathered(h, window, hashed), "words binary, doc_id bigint, _rid bigint, start int"), "settled")
+    # Documents without a covered word keep no text in ``parts``; they can be owners all the same.
+    named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lit(-1).cast("long").alias("_rid"), "text")
+    least = named.mapInArrow(_gathered(h, window, hashed), "words binary, doc_id bigint, _rid bigint, start int").groupBy("words").agg(F.min("doc_id").alias("owner"))
+    whole = F.lit(np.packbits(np.ones(window, bool)).tobytes())
+    return seen.join(least, "words").where("owner < doc_id").select("_rid", "start", whole.alias("cover"))
+
+
 def _kept(batches):
     for b in batches:
         removed, sha = [], []
@@ -334,22 +365,25 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, hashed=hash_words, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words, one space
-    between them).  Null text has no words.  A row with a null doc_id has no place in the order: it
-    loses nothing and takes nothing.  Rows that repeat a doc_id are not smaller than each other."""
+    between them); other columns, whatever their names, are not looked at.  Null text has no words.  A row
+    with a null doc_id has no place in the order: it loses nothing and takes nothing.  Rows that repeat a
+    doc_id are not smaller than each other.  Empty table: empty result.  ``hashed`` names distinct words; a
+    poor one costs time, never a result.  The number of buckets follows the bytes of text."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    buckets = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    buckets = max(8, -(-size // bucket_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.coalesce("text", F.lit(""))) % 65536).alias("check"))
-    entries = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_split(window, buckets), ENTRIES)
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
-        marks = written(entries.groupBy("bucket").applyInArrow(_owners, MARKS), "marks")
+    entries = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(returning(_split(window, buckets, hashed)), ENTRIES)
+    with settings(spark, **BATCH):
+        marks = written(entries.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_owners, MARKS), "marks")
     free_shuffles(spark)
     grouped = marks.groupBy("doc_id", "check").agg(*(F.collect_list(c).alias(c) for c in ("cover", "owners", "refs")))
     joined = rows.join(grouped, ["doc_id", "check"], "left").withColumn("_rid", F.monotonically_increasing_id())
     parts = joined.select("doc_id", "_rid", "text", "cover", "owners", "refs").mapInArrow(_spans(window), "doc_id bigint, _rid bigint, n_words bigint, kept_sha256 string, text string, spans array<struct<owner:bigint,start:int,words:binary>>, refs array<binary>")
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2500"):
+    with settings(spark, **BATCH):
         parts = written(parts, "spans")
     free_shuffles(spark)
     spans = parts.select("_rid", F.explode("spans").alias("s")).select("s.owner", "_rid", "s.start", "s.words")
@@ -359,9 +393,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     salted = spans.join(hot, "owner", "left").select("owner", F.pmod(F.xxhash64("_rid", "start"), copies).cast("int").alias("salt"), F.lit(1).alias("kind"), "_rid", "start", "words")
     shards = refs.join(hot, "owner", "left").select("owner", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("_rid"), F.lit(None).cast("int").alias("start"), "words")
     dealt = shards.unionByName(salted).repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind")
-    verified = dealt.mapInArrow(_verify(window), "_rid bigint, start int, cover binary").groupBy("_rid").agg(F.collect_list("start").alias("starts"), F.collect_list("cover").alias("covers"))
-    verified = written(verified, "verified")
+    checked = written(dealt.mapInArrow(_verify(window), "_rid bigint, start int, cover binary, lacking array<binary>"), "checked")
+    # With a 64-bit hash this list is empty but for a chance in millions; it is as long as the clashes are many.
+    lacking = [r["w"] for r in checked.select(F.explode("lacking").alias("w")).distinct().collect()]
+    covers = checked.select("_rid", "start", "cover")
+    if lacking:
+        covers = covers.unionByName(_settled(parts.where("kept_sha256 IS NULL"), rows, lacking, window, hashed))
+    verified = written(covers.groupBy("_rid").agg(F.collect_list("start").alias("starts"), F.collect_list("cover").alias("covers")), "verified")
     touched = parts.where("kept_sha256 IS NULL").select("_rid", "doc_id", "n_words", "text").join(verified, "_rid", "left")
+    dropped(checked)
     changed = touched.select("doc_id", "n_words", "text", "starts", "covers").mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     whole = parts.where("kept_sha256 IS NOT NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     dropped(marks)

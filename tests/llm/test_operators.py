@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import context_mixing, iso_media, language_id, mixing, near_dedup, piece_codec, substring_dedup, token_store, url_filter
+from tidewright.llm import iso_media, language_id, mixing, near_dedup, piece_codec, substring_dedup, token_store, url_filter
 from tidewright.llm.exact_dedup import exact_dedup
 from tidewright.llm.storage import new_path
 
@@ -244,57 +244,6 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_scoring(odd, empty):
-    got = context_mixing.score(odd, ~F.col("doc_id").eqNullSafe(7), bits=16).collect()
-    words = [(r[0], context_mixing.words_of(r[1])) for r in ODD]
-    train = [w for i, ws in words if i != 7 for w in [*ws, b"\n"]]
-    n, v = len(train), len(set(train))
-    for r in got:
-        ws = next([*w, b"\n"] for i, w in words if i == r.doc_id and len(w) + 1 == r.n_tokens)
-        assert r.train_tokens == n and r.n_known == sum(w in train for w in ws) and r.score < 0
-        assert abs(r.base_score - sum(np.log10((train.count(w) + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6 * abs(r.base_score) + 1e-9
-    assert context_mixing.score(empty, F.lit(True), bits=16).count() == 0
-
-
-def test_contexts_share_no_counts(spark):
-    """The size of the directory has no effect on a score, and every context's odds are those of its counts."""
-    draw = random.Random(3)
-    rows = [(i, " ".join("".join(draw.choices("abcdefghij", k=draw.randint(1, 9))) for _ in range(20))) for i in range(700)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    few, many = ({r.doc_id: r.score for r in context_mixing.score(docs, F.col("doc_id") >= 50, bits=b).collect()} for b in (10, 20))
-    assert all(abs(few[i] - many[i]) < 1e-6 * abs(many[i]) for i in few)
-    words = [b"abc", b"abd", b"b", b"\n"]
-    pairs = spark.createDataFrame([(0, bytearray(w), 10, *[0] * context_mixing.FOLDS) for w in words], f"class int, word binary, {context_mixing.LONGS}")
-    tables, _ = context_mixing.context_tables(pairs, pairs.drop("class"), len(words))
-    data, _ = context_mixing.spelled(pa.array(words, pa.large_binary()))
-    start, depth = context_mixing.word_places(data)
-    key = context_mixing.contexts(data, start, depth, np.zeros(len(data), int), (0,))[0]
-    odds = lambda k, node: tables.odds[tables.find(k[:1])[0] + node] / context_mixing.SCALE
-    low = context_mixing._second(key[2:3], data[2:3] >> 4)
-    # "c" and "d" begin alike and part at the second bit of their last three (0011, 0100).
-    assert abs(odds(low, 2) - np.log((10 + 0.4) / (10 + 0.4))) < 1e-3 and abs(odds(low, 1) - np.log(0.4 / 20.4)) < 1e-3
-    assert not tables.find(np.array([16], np.uint64))[0] < len(tables.keys) * 16
-
-
-def test_few_training_documents_count(spark):
-    """A held-out text is scored with all training documents, however few."""
-    draw = random.Random(4)
-    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(200)]
-    rows = [(i, " ".join(draw.choices(words, k=100))) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = context_mixing.score(docs, F.col("doc_id") >= 10, bits=16).where("held_out").collect()
-    assert len(got) == 10 and all(r.bits_per_byte < 3 for r in got)
-    one = context_mixing.score(docs.where("doc_id in (1, 10)"), F.col("doc_id") == 10, bits=16).collect()
-    assert all(r.bits_per_byte < 8 for r in one)
-
-
-def test_bit_probabilities_sum_to_one():
-    """The code of all one-byte words under untrained tables is a distribution."""
-    tables = [np.zeros(1 << 16, np.int16) for _ in context_mixing.ORDERS]
-    bits, size = context_mixing.text_bits([[b"ab"], []], tables, context_mixing.first_weights(), bits=16)
-    assert np.allclose(bits, size * 8)
-
-
 def test_urls(spark):
     urls = [("http://A.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"), ("no scheme", "", "", None, None), (None, "", "", None, None), ("https://x.com/fr/", "x.com", "/fr/", "com/fr/", "allow"), ("http://example.org/en/17", "example.org", "/en/17", "example.org/en/1", "block"), ("http://q.org#f", "q.org", "", None, None)]
     weights = url_filter.train(spark.createDataFrame(url_filter.labelled_urls(), "url string, label int"))

@@ -35,6 +35,7 @@ WINDOW = 13
 SPANS_A_TASK = 20_000
 #: Bytes of text whose windows meet in one bucket, and rows and bytes of a batch of documents.
 BUCKET_BYTES = 24 << 20
+MIN_BUCKETS = 32
 BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2500", "spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
 STEP = 0xD6E8FEB86659FD93
 
@@ -374,7 +375,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, hashed=hash_words, bu
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    buckets = max(8, -(-size // bucket_bytes))
+    buckets = max(MIN_BUCKETS, -(-size // bucket_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(F.coalesce("text", F.lit(""))) % 65536).alias("check"))
     entries = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(returning(_split(window, buckets, hashed)), ENTRIES)
     with settings(spark, **BATCH):

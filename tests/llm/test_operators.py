@@ -154,12 +154,11 @@ def test_automaton_knows_substrings():
 
 
 def test_token_store(spark, odd, empty):
-    docs = odd.where("doc_id is not null")
     path = new_path(spark, "t")
-    token_store.write_token_shards(docs, path, shard_ids=100)
+    token_store.write_token_shards(odd, path, shard_ids=100)
     got = sorted(token_store.read_token_shards(spark, path, ids=True).collect(), key=lambda r: r.start)
-    made, _ = token_store.tokenizer(token_store.default_tokenizer())
-    want = [(r[0], [*made.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in sorted((r for r in ODD if r[0] is not None), key=lambda r: r[0])]
+    made = token_store.tokenizer(token_store.default_tokenizer())[0]
+    want = [(r[0], [*made.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in sorted(ODD, key=lambda r: (r[0] is None, r[0]))]
     assert [(r.doc_id, r.ids) for r in got] == want
     assert [r.start for r in got] == list(np.cumsum([0] + [len(w[1]) for w in want])[:-1])
     path = new_path(spark, "t")
@@ -169,7 +168,7 @@ def test_token_store(spark, odd, empty):
 
 def test_shards_tell_damage():
     rng = np.random.default_rng(1)
-    for n in (0, 1, 4096, 9001):
+    for n in (0, 1, 2048, 4096, 9001):
         ids = (rng.zipf(1.3, n) % 50000).astype(np.int32)
         image = token_store.pack_shard(np.array([9]), np.array([n]), ids)
         assert (token_store.unpack_shard(image)[2] == ids).all()
@@ -179,18 +178,50 @@ def test_shards_tell_damage():
         token_store.unpack_shard(bytes(bad))
 
 
-def test_words_are_encoded_as_in_whole_texts():
-    made, _ = token_store.tokenizer(token_store.default_tokenizer())
-    texts = ["", "a\x01b \x01", "<|endoftext|> x.", "é́ ́ é", "c\x1cd\x85e", "a.. b, ,. A, é,. E. İ. 1, it's,"]
-    ids, n = token_store.encode_texts(texts, token_store.default_tokenizer())
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+def test_a_skewed_block_is_coded():
+    for ids in (np.zeros(5000, np.int32), np.tile(np.array([3, 1, 2], np.int32), 3000), np.arange(6000, dtype=np.int32)):
+        image = token_store.pack_shard(np.array([9]), np.array([len(ids)]), ids)
+        assert (token_store.unpack_shard(image)[2] == ids).all()
+    assert len(token_store.pack_shard(np.array([9]), np.array([9000]), np.tile(np.array([3, 1, 2], np.int32), 3000))) < 1500
+
+
+def test_the_mixture_is_a_distribution():
+    """Masses of all ranks follow each other and fill the whole, at every step."""
+    rng = np.random.default_rng(4)
+    ids = (rng.zipf(1.5, 300) % 40).astype(np.int32)
+    order0 = token_store._Order0(np.bincount(ids).astype("<u2"))
+    lanes, n = token_store._Lanes(1, order0), len(order0.ids)
+    for x in order0.rank[ids]:
+        lanes.predict()
+        every = np.arange(n)
+        below, own = (np.concatenate([lanes.order0(order0.group[[k]], order0.low[[k]], order0.width[[k]])[i] for k in every]) for i in (0, 1))
+        mass = lanes.m0 * own + ((lanes.m1 * (lanes.p1 == every) + lanes.m2 * (lanes.p2 == every)) << token_store.ORDER0)
+        start = lanes.m0 * below + ((lanes.m1 * (lanes.p1 < every) + lanes.m2 * (lanes.p2 < every)) << token_store.ORDER0)
+        assert (mass > 0).all() and (start[1:] >= start[:-1] + mass[:-1]).all() and start[-1] + mass[-1] <= 1 << token_store.WEIGHT + token_store.ORDER0
+        group = order0.group[[x]]
+        lanes.code(np.array([x]), *lanes.order0(group, order0.low[[x]], order0.width[[x]]))
+        lanes.count(group)
+        assert (lanes.w1 + lanes.w2 <= (1 << token_store.WEIGHT) - token_store.KEPT).all()
+        for m in lanes.shift():
+            pass
+
+
+def encoded(texts, path):
+    ids, n = token_store.encode_texts(pa.array(texts), path)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
 
+@pytest.mark.parametrize("name", [token_store.TOKENIZER, "byte_bpe_50k.json"])
+def test_words_are_encoded_as_in_whole_texts(name, monkeypatch):
+    import public_tokenizers
 
-def test_added_tokens_are_matched_by_exact_case():
-    made, _ = token_store.tokenizer(token_store.default_tokenizer())
-    texts = ["<|ENDOFTEXT|>", "a<|EndOfText|>, b", "A<|endoftext|>B, <|StartOfText|>. C.", "<|ENDOFTEXT|> <|endoftext|> É<|ENDOFTEXT|>"]
-    ids, n = token_store.encode_texts(texts, token_store.default_tokenizer())
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_store, "KEPT_WORDS", 8)
+    path = public_tokenizers.path(name)
+    made, rng = token_store.tokenizer(path)[0], random.Random(8)
+    texts = ["", "a\x01b \x01", "<|endoftext|> x.", "é́ ́ é", "c\x1cd\x85e", "a.. b, ,. A, é,. E. İ. 1, it's,", "<|ENDOFTEXT|>", "a<|EndOfText|>, b", "A<|endoftext|>B, <|StartOfText|>. C.", "<|ENDOFTEXT|> <|endoftext|> É<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice(["a", "B", " ", "  ", ".", ",", "'s", "\n", "é", "İ", "1", "\u3000", "\u0301", "\x0b", "!"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    for some in (texts, texts[::-1]):
+        assert encoded(some, path) == [made.encode(t, add_special_tokens=False).ids for t in some]
 
 
 def test_pieces(spark, odd, empty):

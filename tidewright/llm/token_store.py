@@ -1,13 +1,18 @@
 """Token-id output: an adaptive context-mixing range coder in reset, checksummed blocks.
 
-A shard is one self-contained image: header, document table, the order-0 counts, and blocks of
+A shard is one self-contained image: header, document table, the counts of its ids, and blocks of
 BLOCK ids.  Every block starts from the same state, so each decodes alone, and carries the
-crc32 of its ids.  For each id three predictions are mixed: the id last seen after the last two
-ids (order 2), after the last one (order 1), and a distribution of all ids (order 0: eight
-classes of equal mass by the shard's counts).  The mixture is a set of adaptive distributions
-over {order 2 is right, order 1 is right, class of the id}, one for each pair of confidences of
-both predictions; an id that neither predicts is then coded inside its class.  A 64-bit
-carryless range coder writes the decisions.
+crc32 of its ids.  Three predictions are mixed for each id:
+
+- order 2 and order 1 say which id followed the last two ids, or the last one, when last seen in the block;
+- order 0 is a distribution of all ids: GROUPS groups of about equal mass, whose frequencies adapt
+  in the block, and inside a group the shares of the shard's counts.
+
+The mixture gives an id w0 * P0(id) + w1 * [order 1 says it] + w2 * [order 2 says it].  The weights
+belong to the confidences of both predictions (unseen, seen, right once, right more often); after each id they move
+towards the share that each order had in the id's probability.  One step of a 64-bit carryless range coder
+writes the id: ids are ranked, and the mixture's mass below a rank is that of order 0 plus the masses
+of the predictions that lie below it.
 
 Blocks are independent, so numpy codes one id of every block at a time.
 
@@ -17,6 +22,7 @@ shard, part (order), first_id count and ``content``.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -24,25 +30,36 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.llm.storage import need, new_path, read_table
+from tidewright.llm.memory import returning
+from tidewright.llm.storage import need, new_path, read_table, settings
+from tidewright.llm.words import runs
 
-MAGIC = b"TWID\x01"
-BLOCK = 4096
+MAGIC = b"TWID\x02"
+BLOCK = 2048
 SHARD_IDS = 8 << 20
-CLASSES = 8
-SYMBOLS = CLASSES + 2
-GATES = 16
-SLOTS1, SLOTS2 = 10, 11  # bits of the tables of order 1 and 2, in each block
-EMPTY = (1 << 20) - 1
-MAX_ID = EMPTY - 1
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+GROUPS = 32
+RENEWED = 32  # ids between two renewals of the groups' frequencies
+SLOTS1, SLOTS2 = 9, 10  # bits of the tables of order 1 and 2, in each block
+MAX_ID = (1 << 28) - 1
+#: Bits of a weight, of a group's frequency, and of a share inside a group.
+WEIGHT, GROUP, SHARE = 14, 14, 16
+ORDER0 = GROUP + SHARE
+TOTAL = np.uint64(WEIGHT + ORDER0)
+#: Weight that order 0 always keeps, and first weights by confidence, of 1 << WEIGHT.
+KEPT = 256
+FIRST = np.array([0, 1600, 4800, 9600])
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 44)
 RATE = 5
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Stands for a null doc_id in an image: the largest number, so that such documents come last.
+NO_ID = (1 << 63) - 1
 
 
 class StoreError(ValueError):
@@ -53,66 +70,99 @@ class StoreError(ValueError):
 
 
 class _Order0:
-    """Class, start and width of each id, from 16-bit counts."""
+    """Ranks of the ids, and group, start and width of each rank, from 16-bit counts."""
 
     def __init__(self, counts: np.ndarray):
         ids = np.flatnonzero(counts)
         ids = ids[np.lexsort((ids, -counts[ids].astype(np.int64)))]
         mass = counts[ids].astype(np.int64)
         before = np.cumsum(mass) - mass
-        kind = np.minimum(CLASSES - 1, before * CLASSES // max(1, mass.sum()))
-        self.kind, self.low, self.width = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
-        self.lookup = np.zeros((CLASSES, 1 << 16), np.int32)
-        for c in range(CLASSES):
-            own = ids[kind == c]
+        kind = np.minimum(GROUPS - 1, before * GROUPS // max(1, mass.sum()))
+        self.ids, n = ids.astype(np.int32), len(ids)
+        self.rank = np.zeros(len(counts), np.int32)
+        self.rank[ids] = np.arange(n)
+        # One rank more stands for no id: behind all others, without width.
+        self.group, self.low, self.width = np.full(n + 1, GROUPS - 1), np.full(n + 1, 1 << SHARE), np.zeros(n + 1, np.int64)
+        self.lookup = np.zeros(GROUPS << SHARE, np.int32)
+        for c in range(GROUPS):
+            own = np.flatnonzero(kind == c)
             if not len(own):
                 continue
-            m = counts[own].astype(np.int64)
-            width = 1 + m * (65536 - len(own)) // m.sum()
-            width[0] += 65536 - width.sum()
-            self.kind[own], self.low[own], self.width[own] = c, (np.cumsum(width) - width).astype(np.uint64), width.astype(np.uint64)
-            self.lookup[c] = np.repeat(own, width)
+            width = 1 + mass[own] * ((1 << SHARE) - len(own)) // mass[own].sum()
+            width[0] += (1 << SHARE) - width.sum()
+            self.group[own], self.low[own], self.width[own] = c, np.cumsum(width) - width, width
+            self.lookup[c << SHARE : c + 1 << SHARE] = np.repeat(own, width)
 
 
 class _Lanes:
     """The state of all blocks: predictions, mixture and coder."""
 
-    def __init__(self, n: int):
-        self.t1, self.t2 = np.full(n << SLOTS1, EMPTY, np.int32), np.full(n << SLOTS2, EMPTY, np.int32)
-        start = np.arange(SYMBOLS + 1) * ((1 << 15) // SYMBOLS)
-        start[-1] = 1 << 15
-        self.cdf = np.tile(start.astype(np.int32), (n * GATES, 1))
-        # Moving a boundary towards these keeps every symbol at a width of at least 16 of 32768.
-        self.target = np.array([[16 * j if j <= s else (1 << 15) - 16 * (SYMBOLS - j) for j in range(1, SYMBOLS)] for s in range(SYMBOLS)], np.int32)
+    def __init__(self, n: int, order0: _Order0):
+        self.none = len(order0.ids)
+        # An entry is a rank and its confidence in the last two bits.
+        self.t1, self.t2 = np.full(n << SLOTS1, self.none << 2, np.int32), np.full(n << SLOTS2, self.none << 2, np.int32)
+        lane = np.arange(n)
+        self.at1, self.at2, self.at_row, self.at_group = lane << SLOTS1, lane << SLOTS2, lane << 4, lane * (GROUPS + 1)
+        w2 = np.repeat(FIRST, 4)
+        w1 = np.tile(FIRST, 4) * ((1 << WEIGHT) - KEPT - w2) >> WEIGHT
+        self.w1, self.w2 = np.tile(w1, n), np.tile(w2, n)
+        self.seen = np.full((n, GROUPS + 1), 4, np.int32)
+        self.seen[:, 0] = 0
+        self.seen_flat = self.seen.reshape(-1)
         self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lane = np.arange(n)
         self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-
-    def predict(self, n: int):
-        self.s1 = (self.lane[:n] << SLOTS1) + ((self.a[:n] * 0x9E3779B1 >> 7) & ((1 << SLOTS1) - 1))
-        self.s2 = (self.lane[:n] << SLOTS2) + (((self.a[:n] * 0x85EBCA77 + self.b[:n] * 0xC2B2AE3D) >> 9) & ((1 << SLOTS2) - 1))
-        e1, e2 = self.t1[self.s1], self.t2[self.s2]
-        self.p1, self.c1, self.p2, self.c2 = e1 & EMPTY, e1 >> 20, e2 & EMPTY, e2 >> 20
-        self.row = (self.lane[:n] * GATES) + self.c2 * 4 + self.c1
-        return self.cdf[self.row]
-
-    def learn(self, n: int, x: np.ndarray, symbol: np.ndarray, cdf: np.ndarray) -> None:
-        inner = cdf[:, 1:SYMBOLS]
-        inner += (self.target[symbol] - inner) >> RATE
-        self.cdf[self.row] = cdf
-        for table, slot, p, c in ((self.t1, self.s1, self.p1, self.c1), (self.t2, self.s2, self.p2, self.c2)):
-            right = p == x
-            kept = right | (c > 0)
-            table[slot] = np.where(kept, p, x) | (np.where(right, np.minimum(c + 1, 3), np.maximum(c - 1, 0)) << 20)
-        self.b[:n], self.a[:n] = self.a[:n], x
-
-    def shift(self, n: int):
+        self.step = 0
+
+    def predict(self) -> None:
+        if self.step % RENEWED == 0:
+            below = np.cumsum(self.seen, 1)
+            self.cdf = (below * ((1 << GROUP) - GROUPS) // below[:, -1:] + np.arange(GROUPS + 1)).reshape(-1)
+        self.step += 1
+        self.s1 = (self.a * 0x9E3779B1 >> 7 & (1 << SLOTS1) - 1) + self.at1
+        self.s2 = (self.a * 0x85EBCA77 + self.b >> 9 & (1 << SLOTS2) - 1) + self.at2
+        self.e1, self.e2 = self.t1.take(self.s1), self.t2.take(self.s2)
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.row = self.at_row + (self.c2 << 2 | self.c1)
+        self.m1, self.m2 = self.w1.take(self.row), self.w2.take(self.row)
+        self.m0 = (1 << WEIGHT) - self.m1 - self.m2
+
+    def order0(self, group, low, width) -> tuple[np.ndarray, np.ndarray]:
+        """Mass below and mass of ranks given by group, start and width, of 1 << ORDER0."""
+        at = self.at_group + group
+        begin = self.cdf.take(at)
+        many = self.cdf.take(at + 1) - begin
+        return (begin << SHARE) + many * low, many * width
+
+    def code(self, x, below, own) -> None:
+        """Narrow the coder to ``x``, whose order-0 masses are given, and learn it."""
+        hit1, hit2 = self.p1 == x, self.p2 == x
+        by1, by2 = self.m1 * hit1, self.m2 * hit2
+        mass = self.m0 * own + (by1 + by2 << ORDER0)
+        start = self.m0 * below + (self.m1 * (self.p1 < x) + self.m2 * (self.p2 < x) << ORDER0)
+        self.range >>= TOTAL
+        self.low += self.range * start.view(np.uint64)
+        self.range *= mass.view(np.uint64)
+        part = float(((1 << WEIGHT) - KEPT) << ORDER0) / mass
+        self.w1[self.row] = self.m1 + ((by1 * part).astype(np.int64) - self.m1 >> RATE)
+        self.w2[self.row] = self.m2 + ((by2 * part).astype(np.int64) - self.m2 >> RATE)
+        new = x << 2 | 1
+        self.t1[self.s1] = np.where(hit1, self.e1 + (self.c1 < 3), new)
+        self.t2[self.s2] = np.where(hit2, self.e2 + (self.c2 < 3), new)
+        self.b, self.a = self.a * 0xC2B2AE3D, x.astype(np.int64) + 1
+
+    def count(self, group) -> None:
+        at = self.at_group + group + 1
+        self.seen_flat[at] += 4
+
+    def shift(self):
         """Lanes whose first 16 bits are settled, until there is none; the caller moves them."""
-        low, rng = self.low[:n], self.range[:n]
+        low, rng = self.low, self.range
         while True:
             settled = (low ^ (low + rng)) < TOP
-            short = (rng < BOTTOM) & ~settled
+            short = rng < BOTTOM
             if short.any():
+                short &= ~settled
                 rng[short] = (np.uint64(0) - low[short]) & (BOTTOM - np.uint64(1))
                 settled |= short
             at = np.flatnonzero(settled)
@@ -123,40 +173,33 @@ class _Lanes:
             rng[at] <<= np.uint64(16)
 
 
+def _steps(lengths: np.ndarray) -> int:
+    """All blocks are coded to the same length; what fills up the last one is dropped again."""
+    return int(lengths.max(initial=0))
+
+
 def encode_blocks(ids: np.ndarray, order0: _Order0) -> list[bytes]:
     """Code of each block of BLOCK ids (the last one may be shorter)."""
     blocks = -(-len(ids) // BLOCK)
     if not blocks:
         return []
-    lengths = np.full(blocks, BLOCK)
-    lengths[-1] = len(ids) - (blocks - 1) * BLOCK
-    flat = np.zeros(blocks * BLOCK, np.int32)
-    flat[: len(ids)] = ids
-    grid = np.ascontiguousarray(flat.reshape(blocks, BLOCK).T)
+    steps = min(len(ids), BLOCK)
+    flat = np.zeros(blocks * steps, np.int32)
+    flat[: len(ids)] = order0.rank[ids]
+    grid = np.ascontiguousarray(flat.reshape(blocks, steps).T)
     del flat
-    lanes = _Lanes(blocks)
-    width = 3 * BLOCK + 8
-    out, put = np.zeros(blocks * width, np.uint16), lanes.lane * width
-    for t in range(int(lengths.max())):
-        n = blocks if t < lengths[-1] else blocks - 1
-        x = grid[t, :n]
-        cdf = lanes.predict(n)
-        hit2, hit1 = x == lanes.p2, x == lanes.p1
-        symbol = np.where(hit2, 0, np.where(hit1, 1, order0.kind[x] + 2))
-        flat_cdf, at = cdf.reshape(-1), lanes.lane[:n] * (SYMBOLS + 1) + symbol
-        lo, hi = flat_cdf[at].astype(np.uint64), flat_cdf[at + 1].astype(np.uint64)
-        low, rng = lanes.low[:n], lanes.range[:n]
-        rng >>= np.uint64(15)
-        low += rng * lo
-        rng *= hi - lo
-        predicted = symbol < 2
-        rng >>= np.uint64(16)
-        low += rng * np.where(predicted, np.uint64(0), order0.low[x])
-        rng *= np.where(predicted, np.uint64(65536), order0.width[x])
-        for m in lanes.shift(n):
-            out[put[m]] = low[m] >> np.uint64(48)
+    lanes = _Lanes(blocks, order0)
+    width = 4 * steps + 8
+    out, put = np.zeros(blocks * width, np.uint16), np.arange(blocks) * width
+    for t in range(steps):
+        x = grid[t]
+        lanes.predict()
+        group = order0.group.take(x)
+        lanes.code(x, *lanes.order0(group, order0.low.take(x), order0.width.take(x)))
+        lanes.count(group)
+        for m in lanes.shift():
+            out[put[m]] = lanes.low[m] >> np.uint64(48)
             put[m] += 1
-        lanes.learn(n, x, symbol, cdf)
     for _ in range(4):
         out[put] = lanes.low >> np.uint64(48)
         put += 1
@@ -172,37 +215,54 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray, order0: _Order0) -> n
     words = np.frombuffer(b"".join(c + b"\0\0\0\0" for c in codes), ">u2").astype(np.uint64)
     sizes = np.array([len(c) // 2 + 2 for c in codes])
     take = np.cumsum(sizes) - sizes
-    lanes, grid = _Lanes(blocks), np.zeros((BLOCK, blocks), np.int32)
+    steps = _steps(lengths)
+    lanes, grid = _Lanes(blocks, order0), np.zeros((steps, blocks), np.int32)
     code = np.zeros(blocks, np.uint64)
     for _ in range(4):
         code = code << np.uint64(16) | words[take]
         take += 1
     end = len(words) - 1
-    for t in range(int(lengths.max())):
-        n = int((lengths > t).sum())
-        cdf = lanes.predict(n)
-        low, rng = lanes.low[:n], lanes.range[:n]
-        rng >>= np.uint64(15)
-        value = np.minimum((code[:n] - low) // rng, np.uint64((1 << 15) - 1)).astype(np.int32)
-        symbol = (cdf[:, 1:SYMBOLS] <= value[:, None]).sum(1)
-        flat_cdf, at = cdf.reshape(-1), lanes.lane[:n] * (SYMBOLS + 1) + symbol
-        lo, hi = flat_cdf[at].astype(np.uint64), flat_cdf[at + 1].astype(np.uint64)
-        low += rng * lo
-        rng *= hi - lo
-        rng >>= np.uint64(16)
-        inside = np.minimum((code[:n] - low) // np.maximum(rng, np.uint64(1)), np.uint64(65535)).astype(np.int64)
-        x = order0.lookup[np.maximum(symbol - 2, 0), inside]
-        x = np.where(symbol == 0, lanes.p2, np.where(symbol == 1, lanes.p1, x)).astype(np.int32)
-        x = np.minimum(x, len(order0.kind) - 1)  # a damaged block decodes to something, and its crc tells
-        predicted = symbol < 2
-        low += rng * np.where(predicted, np.uint64(0), order0.low[x])
-        rng *= np.where(predicted, np.uint64(65536), np.maximum(order0.width[x], np.uint64(1)))
-        for m in lanes.shift(n):
+    top, last = np.int64((1 << ORDER0 + WEIGHT) - 1), lanes.none - 1
+    for t in range(steps):
+        lanes.predict()
+        value = np.minimum(((code - lanes.low) // (lanes.range >> TOTAL)).view(np.int64) & (1 << 62) - 1, top)
+        # The two predictions in order of their ranks; both of one rank are one.
+        one, two = np.minimum(lanes.p1, lanes.p2), np.maximum(lanes.p1, lanes.p2)
+        first = lanes.p1 <= lanes.p2
+        big1, big2 = np.where(first, lanes.m1, lanes.m2) << ORDER0, np.where(first, lanes.m2, lanes.m1) << ORDER0
+        same = one == two
+        big1 += big2 * same
+        big2 *= ~same
+        below1, own1 = lanes.order0(order0.group.take(one), order0.low.take(one), order0.width.take(one))
+        below2, own2 = lanes.order0(order0.group.take(two), order0.low.take(two), order0.width.take(two))
+        start1 = lanes.m0 * below1
+        end1 = start1 + lanes.m0 * own1 + big1
+        start2 = lanes.m0 * below2 + big1
+        end2 = start2 + lanes.m0 * own2 + big2
+        past1, past2 = value >= end1, value >= end2
+        is1, is2 = (value >= start1) & ~past1, (value >= start2) & ~past2 & past1
+        inner = np.minimum((value - big1 * past1 - big2 * past2) / lanes.m0, (1 << ORDER0) - 1).astype(np.int64)
+        share = inner >> SHARE
+        group = np.zeros(blocks, np.int64)
+        for k in range(GROUPS.bit_length() - 2, -1, -1):
+            group += (lanes.cdf.take(lanes.at_group + group + (1 << k)) <= share) << k
+        at = lanes.at_group + group
+        begin = lanes.cdf.take(at)
+        x = order0.lookup.take((group << SHARE) + np.minimum((inner - (begin << SHARE)) // (lanes.cdf.take(at + 1) - begin), (1 << SHARE) - 1))
+        x = np.where(is1, one, np.where(is2, two, x)).astype(np.int32)
+        x = np.minimum(x, last)  # a damaged block decodes to something, and its crc tells
+        group = order0.group.take(x)
+        lanes.code(x, *lanes.order0(group, order0.low.take(x), order0.width.take(x)))
+        lanes.count(group)
+        np.maximum(lanes.range, np.uint64(1), out=lanes.range)
+        for m in lanes.shift():
             code[m] = code[m] << np.uint64(16) | words[np.minimum(take[m], end)]
             take[m] += 1
-        grid[t, :n] = x
-        lanes.learn(n, x, symbol, cdf)
-    return np.ascontiguousarray(grid.T).reshape(-1)[np.flatnonzero((np.arange(BLOCK) < lengths[:, None]).reshape(-1))]
+        grid[t] = x
+    flat = np.ascontiguousarray(grid.T).reshape(-1)
+    if len(lengths) and lengths[-1] < steps:
+        flat = flat[: len(flat) - (steps - int(lengths[-1]))]
+    return order0.ids[flat]
 
 
 # ---- images ---------------------------------------------------------------------------------
@@ -258,16 +318,35 @@ def default_tokenizer() -> str:
 
 
 MARK = "\x01"
+#: What a tokenizer must do with a text so that its words can be encoded apart (fixed values of the file format).
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: White space that parts words; other white space stays inside a word, where the library meets it.
+PARTS = np.isin(np.arange(256), [32, 9, 10, 13])
+#: Distinct words whose ids a worker keeps; beyond it starts anew, which costs time and changes no id.
+KEPT_WORDS = 1 << 20
 
 
 @cache
 def tokenizer(path: str):
+    """(tokenizer, the id of MARK or None, whether words can be encoded apart)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    apart = (rules.get("normalizer"), rules.get("pre_tokenizer")) == WORDWISE and rules.get("post_processor") is None and rules.get("truncation") is None and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in rules["added_tokens"])
     mark = made.encode(MARK, add_special_tokens=False).ids
-    return made, mark[0] if len(mark) == 1 else None
+    return made, mark[0] if len(mark) == 1 else None, apart
 
 
 @cache
@@ -276,17 +355,51 @@ def added_tokens(path: str) -> tuple[str, ...]:
     return tuple(t.content.lower() for t in tokenizer(path)[0].get_added_tokens_decoder().values())
 
 
-def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+class _Known:
+    """Ids of words that this worker has encoded before, one tokenizer at a time."""
+
+    path, words = None, None
+
+    @classmethod
+    def of(cls, words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and size in them) of distinct words."""
+        if cls.path != path or len(cls.words) > KEPT_WORDS:
+            cls.path, cls.words, cls.ids = path, pa.array([], pa.large_binary()), np.zeros(0, np.int32)
+            cls.starts = cls.sizes = np.zeros(0, np.int64)
+        at = pc.index_in(words, value_set=cls.words)
+        if at.null_count:
+            new = words.filter(pc.is_null(at))
+            ids, sizes = encode_words(new.cast(pa.large_string()).to_pylist(), path)
+            cls.starts = np.concatenate([cls.starts, np.cumsum(sizes) - sizes + len(cls.ids)])
+            cls.sizes, cls.ids = np.concatenate([cls.sizes, sizes]), np.concatenate([cls.ids, ids])
+            cls.words = pa.concat_arrays([cls.words, new])
+            at = pc.index_in(words, value_set=cls.words)
+        at = at.to_numpy(zero_copy_only=False)
+        return cls.ids, cls.starts[at], cls.sizes[at]
+
+
+def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, ids of each text) as the library gives them for the whole texts.
 
-    The tokenizer drops white space and never joins across it, so each distinct word is encoded
-    once; words go in groups, parted by a mark whose id no word without the mark can have."""
-    made, mark = tokenizer(path)
-    words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    per_text = np.fromiter(map(len, words), np.int64, len(words))
-    coded = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
-    del words
-    codes, given = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    Where the tokenizer drops white space and never joins across it, each distinct word is encoded once;
+    any other tokenizer gets whole texts."""
+    made, _, apart = tokenizer(path)
+    if not apart:
+        found = [e.ids for e in made.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.fromiter((i for f in found for i in f), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+    words, per_text = runs(texts, PARTS)
+    coded = words.dictionary_encode()
+    ids, starts, sizes = _Known.of(coded.dictionary, path)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    at, n = _gathered(starts[codes], sizes[codes])
+    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
+    return ids[at], np.diff(cuts)
+
+
+def encode_words(given: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, ids of each word).  Words go in groups, parted by a mark whose id no word without the
+    mark can have."""
+    made, mark, _ = tokenizer(path)
     # A comma or stop behind an ASCII letter is a token of its own, and the tokenizer lower-cases: fewer words are left to encode.
     # A word that holds an added token in any case stays as it is: such a token is matched by exact case.
     added = added_tokens(path)
@@ -317,13 +430,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     flat = np.concatenate([*parts, np.zeros(0, np.int32)])
     begin, n = _gathered(starts[stem], sizes[stem])
     flat = np.insert(flat[begin], np.cumsum(n), ends_in[tail])
-    keep = flat >= 0
-    flat = flat[keep]
-    n = n + (tail > 0)
-    starts = np.cumsum(n) - n
-    at, n = _gathered(starts[codes], n[codes])
-    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
-    return flat[at], np.diff(cuts)
+    return flat[flat >= 0], n + (tail > 0)
 
 
 def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,12 +448,12 @@ SHARDS = "part int, seq int, n_docs bigint, n_ids bigint, content binary"
 def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Shard images of all texts in ascending doc_id (ties: by text), ``end_id`` after each document.
 
-    Null text is empty; a null doc_id is refused, as it has no place in the order.  Documents are
-    range-partitioned by id, each task writes images of about ``shard_ids`` ids."""
+    Null text is empty.  A null doc_id is written behind all others as NO_ID, which is read back as null; repeated
+    rows stay repeated.  Columns other than doc_id and text, whatever their names, are not looked at.  An empty table
+    gives no image.  Documents are range-partitioned by id, each task writes images of about ``shard_ids`` ids."""
     need(docs, "doc_id", "text")
     at = tokenizer_path or default_tokenizer()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("doc_id is null")).cast("long")))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def made(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -360,37 +467,31 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str | None =
             return row
 
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            begin = 0
-            while begin < len(texts):
-                stop, size = begin, 0
-                while stop < len(texts) and (stop == begin or size + len(texts[stop]) <= 24 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                some, n = encode_texts(texts[begin:stop], at)
-                ends = np.cumsum(n)
-                ids.append(np.insert(some, ends, end_id).astype(np.int32))
-                counts.append(n + 1)
-                names.append(keys[begin:stop])
-                held += len(ids[-1])
-                begin = stop
-                if held >= shard_ids:
-                    yield flush()
+            some, n = encode_texts(b.column("text"), at)
+            ids.append(np.insert(some, np.cumsum(n), end_id).astype(np.int32))
+            counts.append(n + 1)
+            names.append(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))
+            held += len(ids[-1])
+            if held >= shard_ids:
+                yield flush()
         if held:
             yield flush()
 
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(made, SHARDS).write.parquet(path)
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxBytesPerBatch=str(16 << 20)):
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(returning(made), SHARDS).write.parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """One row a document: doc_id, start, n_tokens, ids_crc32 (and ``ids``), decoded from the images.
 
-    What the driver gathers is two numbers an image file, no more than a file listing."""
+    The start of an image is that of its task, whose sums alone meet in one window, and what the task's
+    images before it hold."""
     table = spark.read.schema(SHARDS).parquet(path)
-    before, offsets = 0, []
-    for r in sorted(table.select("part", "seq", "n_ids").collect()):
-        offsets.append((r["part"], r["seq"], before))
-        before += r["n_ids"]
+    sizes = table.select("part", "seq", "n_ids")
+    whole = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    tasks = whole.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("_task"))
+    inner = F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    starts = sizes.withColumn("_inner", inner).join(tasks, "part").select("part", "seq", (F.col("_task") + F.col("_inner")).alias("_before"))
     added = ", ids array<int>" if ids else ""
 
     def read(batches):
@@ -405,8 +506,7 @@ def read_token_shards(spark: SparkSession, path: str, ids: bool = False) -> Data
                 yield pa.RecordBatch.from_arrays([whole("part"), whole("seq"), pa.array(names), pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64()), *more], ["part", "seq", "doc_id", "_local", "n_tokens", "ids_crc32", *(["ids"] if ids else [])])
 
     docs = table.select("part", "seq", "content").mapInArrow(read, f"part int, seq int, doc_id bigint, _local bigint, n_tokens bigint, ids_crc32 bigint{added}")
-    starts = spark.createDataFrame(offsets, "part int, seq int, _before bigint")
-    return docs.join(starts, ["part", "seq"]).select("doc_id", (F.col("_local") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
+    return docs.join(starts, ["part", "seq"]).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("_local") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

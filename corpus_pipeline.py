@@ -28,19 +28,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
-    kept = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"), F.unhex("text_sha256").alias("_sha")).distinct(), "kept")
-    free_shuffles(spark)
+def _staying(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, found by id and text (ids may be null or repeat); of
+    repeated rows one."""
+    kept = written(judged.where("kept").select(F.col("doc_id").alias("_kept"), F.unhex("text_sha256").alias("_sha")).distinct(), "kept")
+    free_shuffles(docs.sparkSession)
     rows = docs.select(*COLUMNS, F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("_digest"))
     staying = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_sha")), "left_semi")
     return staying.dropDuplicates(["doc_id", "_digest"]).select(*COLUMNS)
 
 
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays; of repeated rows one."""
+    return _staying(docs, exact_dedup(docs))
+
+
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest doc_id."""
-    kept = written(near_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return _staying(docs, near_dedup(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.storage import need, read_table
+from tidewright.llm.storage import need, read_table, settings, written
 
 UNIT = 64
 RATE = 8000
 CHUNK_SAMPLES = 64
 SYNC_EVERY = 16
+BATCH = {"spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
@@ -83,7 +84,7 @@ def pack_media(payload: bytes) -> bytes:
 
 
 def walk(data: memoryview, start: int, end: int, depth: int = 0):
-    """(kind, body start, body end, depth) of each box, containers entered."""
+    """(kind, start, body start, body end) of each box, containers entered.  Four bytes 0 may close a container."""
     at = start
     while at + 8 <= end:
         size, kind = struct.unpack_from(">I4s", data, at)
@@ -96,13 +97,13 @@ def walk(data: memoryview, start: int, end: int, depth: int = 0):
             size = end - at
         if size < head or at + size > end:
             raise MediaError(f"box {kind!r} leaves its parent")
-        yield kind, at + head, at + size, depth
+        yield kind, at, at + head, at + size
         if kind in CONTAINERS:
             if depth > 16:
                 raise MediaError("boxes nested too deep")
             yield from walk(data, at + head, at + size, depth + 1)
         at += size
-    if at != end and depth:
+    if at != end and depth and bytes(data[at:end]) != b"\0" * 4:
         raise MediaError("bytes after the last box")
 
 
@@ -138,20 +139,123 @@ def _track(data: memoryview, t: dict) -> dict:
     if len(keys) and (keys.min() < 0 or keys.max() >= n):
         raise MediaError("a keyframe that no sample has")
     ticks = int((t["times"][:, 0] * t["times"][:, 1]).sum()) if "times" in t else 0
-    return {"handler": t.get("handler", ""), "codec": codec, "channels": channels, "bits": bits, "timescale": t.get("timescale", 0), "duration": t.get("duration", 0), "ticks": ticks, "starts": starts, "sizes": sizes, "keys": keys}
+    return {"handler": t.get("handler", ""), "codec": codec, "channels": channels, "bits": bits, "timescale": t.get("timescale", 0), "duration": t.get("duration", 0), "ticks": ticks, "edits": t.get("edits", []), "shifts": t.get("shifts", np.zeros((0, 2), np.int64)), "starts": starts, "sizes": sizes, "keys": keys}
+
+
+def _narrow(data, a: int, b: int) -> np.ndarray:
+    """Sample sizes of 4, 8 or 16 bits."""
+    width, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if width not in (4, 8, 16) or a + 12 + (n * width + 7) // 8 > b:
+        raise MediaError("cut table of sizes")
+    raw = np.frombuffer(data, np.uint8, (n * width + 7) // 8, a + 12)
+    if width == 16:
+        return raw.view(">u2").astype(np.int64)
+    return (np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n] if width == 4 else raw).astype(np.int64)
+
+
+def _signed(data, a: int, b: int) -> list[tuple[int, int, int]]:
+    """(duration, media time, rate) of an edit list; a media time of -1 is a pause."""
+    (n,) = struct.unpack_from(">I", data, a + 4)
+    form = ">Qqi" if data[a] else ">Iii"
+    if a + 8 + n * struct.calcsize(form) > b:
+        raise MediaError("cut edit list")
+    return [struct.unpack_from(form, data, a + 8 + k * struct.calcsize(form)) for k in range(n)]
+
+
+NOT_SYNC = 0x10000  # a sample flag
+#: Fields of a fragment's header, and of a run's samples, by flag bit, in their order.
+HEAD_FIELDS = ((0x1, "base", ">Q"), (0x2, "entry", ">I"), (0x8, "ticks", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I"))
+RUN_FIELDS = (0x100, 0x200, 0x400, 0x800)
+
+
+def _fragment_head(data, a: int, b: int, begin: int, moof: int, first: bool, end: int, defaults: dict[int, dict]) -> dict:
+    flags, track = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    head = {"track": track, "ticks": 0, "size": 0, "flags": 0, **defaults.get(track, {})}
+    head["base"] = moof if first or flags & 0x20000 else end
+    at = a + 8
+    for bit, name, form in HEAD_FIELDS:
+        if flags & bit:
+            (head[name],) = struct.unpack_from(form, data, at)
+            at += struct.calcsize(form)
+    if at > b:
+        raise MediaError("cut fragment header")
+    head["next"] = head["base"]
+    return head
+
+
+def _run(data, a: int, b: int, head: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, ticks, keyframe or not) of a run of samples; moves the fragment's place on."""
+    flags, n = struct.unpack_from(">II", data, a)
+    flags &= 0xFFFFFF
+    at, start, first = a + 8, head["next"], None
+    if flags & 0x1:
+        start = head["base"] + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    own = [bit for bit in RUN_FIELDS if flags & bit]
+    if at + 4 * n * len(own) > b or n > len(data):
+        raise MediaError("cut run of samples")
+    table = np.frombuffer(data, ">u4", n * len(own), at).astype(np.int64).reshape(n, len(own))
+    column = lambda bit, default: table[:, own.index(bit)] if bit in own else np.full(n, default, np.int64)
+    ticks, sizes, marks = column(0x100, head["ticks"]), column(0x200, head["size"]), column(0x400, head["flags"]).copy()
+    if first is not None and n:
+        marks[0] = first
+    ends = start + np.cumsum(sizes)
+    head["next"] = int(ends[-1]) if n else start
+    return ends - sizes, sizes, ticks, (marks & NOT_SYNC) == 0
+
+
+def _joined(track: dict, runs: list, data) -> dict:
+    """``track`` with the samples of its fragments behind those of its tables."""
+    if not runs:
+        return track
+    starts, sizes, ticks, sync = (np.concatenate(x) for x in zip(*runs, strict=True))
+    if len(starts) and (starts.min() < 0 or (starts + sizes).max() > len(data)):
+        raise MediaError("a sample lies outside the file")
+    n = len(track["sizes"])
+    track |= {"starts": np.concatenate([track["starts"], starts]), "sizes": np.concatenate([track["sizes"], sizes]), "keys": np.concatenate([track["keys"], n + np.flatnonzero(sync)])}
+    track["ticks"] += int(ticks.sum())
+    track["duration"] = max(track["duration"], track["ticks"])
+    return track
 
 
 def parse_media(raw: bytes) -> list[dict]:
-    """The tracks of a container; MediaError for bytes that are none."""
+    """The tracks of a container, samples of fragments included; MediaError for bytes that are none."""
     data, tracks, now = memoryview(raw), [], None
+    defaults: dict[int, dict] = {}
+    runs: dict[int, list] = {}
+    moof, head, first = 0, None, True
     try:
-        for kind, a, b, _ in walk(data, 0, len(data)):
+        for kind, begin, a, b in walk(data, 0, len(data)):
             if kind == b"trak":
-                now = {}
+                now = {"id": len(tracks) + 1}
                 tracks.append(now)
-            if now is None:
+            elif kind == b"trex":
+                track, _, ticks, size, flags = struct.unpack_from(">5I", data, a + 4)
+                defaults[track] = {"ticks": ticks, "size": size, "flags": flags}
+            elif kind == b"moof":
+                moof, head, first = begin, None, True
+            elif kind == b"tfhd":
+                head = _fragment_head(data, a, b, begin, moof, first, head["next"] if head else moof, defaults)
+                first = False
+            elif kind == b"trun":
+                if head is None:
+                    raise MediaError("a run without a fragment")
+                runs.setdefault(head["track"], []).append(_run(data, a, b, head))
+            if now is None or kind in (b"tfhd", b"trun"):
                 continue
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                (now["id"],) = struct.unpack_from(">I", data, a + (20 if data[a] else 12))
+            elif kind == b"elst":
+                now["edits"] = _signed(data, a, b)
+            elif kind == b"ctts":
+                now["shifts"] = _table(data, a + 4, b, 4, 2)
+            elif kind == b"stz2":
+                now["sizes"] = _narrow(data, a, b)
+            elif kind == b"mdhd":
                 now["timescale"], now["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
             elif kind == b"hdlr":
                 now["handler"] = bytes(data[a + 8 : a + 12]).decode("latin-1")
@@ -176,7 +280,7 @@ def parse_media(raw: bytes) -> list[dict]:
                 now["chunks"] = _table(data, a + 4, b, 8, 1)[:, 0]
         if not tracks:
             raise MediaError("no track")
-        return [_track(data, t) for t in tracks]
+        return [_joined(_track(data, t), runs.get(t["id"], []), data) for t in tracks]
     except (struct.error, IndexError) as e:
         raise MediaError(f"cut box: {e}") from None
 
@@ -226,40 +330,48 @@ def to_iso_media(df: DataFrame, column: str = "text") -> DataFrame:
     return df.select(*names, column).mapInArrow(made, f"{ddl}n_bytes bigint, media binary")
 
 
-READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:bigint,bytes:bigint>>, error string"
+READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:bigint,bytes:bigint>>, tracks array<struct<handler:string,codec:string,duration_s:double,samples:bigint,keyframes:array<struct<offset:bigint,bytes:bigint>>>>, error string"
 
 
 def read_iso_media(df: DataFrame, column: str = "media", keyframes: bool = True) -> DataFrame:
-    """What the first track of each container says, in place of the ``media`` column.
+    """What the first track of each container says, and an entry for each of its ``tracks``, in place of the
+    ``media`` column.
 
-    Bytes that are no container (null included) give null features and an error text; the run
-    goes on.  ``keyframes=False`` leaves the list of ranges null (its crc is in ``feature``)."""
+    Bytes that are no container (null included) give null features and an error text; the run goes on.
+    ``keyframes=False`` leaves the lists null (a crc of the first track's is in ``feature``).  Rows are read one
+    by one: repeated rows stay repeated, an empty table gives an empty result; columns of the added names are
+    replaced."""
     need(df, column)
-    added = [x.split()[0] for x in READ.split(", ")]
+    added = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "keyframes", "tracks", "error"]
     names, ddl = _fields(df, column, *added)
 
     def read(batches):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())])), pa.string()]
+        ranged = pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))
+        listed = pa.list_(pa.struct([("handler", pa.string()), ("codec", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", ranged)]))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), ranged, listed, pa.string()]
+        seconds_of = lambda t: t["duration"] / t["timescale"] if t["timescale"] else None
+        ranges_of = lambda t: [{"offset": o, "bytes": s} for o, s in keyframe_ranges(t)]
         for b in batches:
             rows, media = [], b.column(column)
             for i in range(b.num_rows):
                 raw = media[i].as_py()
                 if raw is None:
-                    rows.append((None,) * 9 + ("no bytes",))
+                    rows.append((None,) * 10 + ("no bytes",))
                     continue
                 try:
-                    track = parse_media(raw)[0]
+                    tracks = parse_media(raw)
+                    track = tracks[0]
                     payload = payload_of(raw, track)
-                    seconds = track["duration"] / track["timescale"] if track["timescale"] else None
-                    ranges = [{"offset": o, "bytes": s} for o, s in keyframe_ranges(track)] if keyframes else None
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(track), track["codec"], seconds, ranges, None))
+                    each = [{"handler": t["handler"], "codec": t["codec"], "duration_s": seconds_of(t), "samples": len(t["sizes"]), "keyframes": ranges_of(t)} for t in tracks] if keyframes else None
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature_of(track), track["codec"], seconds_of(track), each[0]["keyframes"] if each else None, each, None))
                 except MediaError as e:
-                    rows.append((None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), None, None, None, None, str(e)))
+                    rows.append((None, None, None, len(raw), hashlib.sha256(raw).hexdigest(), None, None, None, None, None, str(e)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [*names, *added])
 
     return df.select(*names, column).mapInArrow(read, ddl + READ)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = to_iso_media(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return read_iso_media(media, keyframes=False).drop("keyframes", "error")
+    with settings(spark, **BATCH):
+        media = written(to_iso_media(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "media", compression="zstd")
+    return read_iso_media(media, keyframes=False).drop("keyframes", "tracks", "error")

@@ -74,7 +74,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, rate
     null doc_id are not learned from.  Without labelled rows the model knows no language."""
     need(docs, "doc_id", "text", "lang")
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages are labelled")
     if not counts:
         return {"languages": [], "table": np.zeros((1 << BITS, 0)), "bias": np.zeros(0), "temperature": 1.0, "threshold": 0.0}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["n"]))])

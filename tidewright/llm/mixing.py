@@ -7,12 +7,14 @@ each source a number of tokens, realised as permutations of the source's blocks:
 passes over all blocks, then blocks in an order keyed by (seed, source, pass), then single
 documents of the block in which the budget ends.
 
-Documents of a source are dealt into blocks by a keyed hash, so a source with a third of
-all rows is many groups; only block totals meet in a source's window.
+Documents of a source are dealt into blocks by a keyed hash, so a source with a third of all
+rows is many groups; block totals are summed in slices, and only slice totals meet in a source's window.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,7 +24,9 @@ from tidewright.llm.storage import need, read_table, written
 BLOCK_TOKENS = 1 << 18
 REPEAT_LIMIT = 2.0
 SEED = 20
-STEPS = 60
+#: The exponent is known to FAN to the power of minus STEPS.
+STEPS, FAN = 8, 32
+SLICE = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -30,14 +34,19 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _powered(shares: Column, a: Column) -> Column:
-    raised = F.transform(shares, lambda p: F.pow(p, a))
-    total = F.aggregate(raised, F.lit(0.0), lambda x, y: x + y)
-    return F.transform(raised, lambda w: w / total)
-
+def _low_enough(shares: DataFrame, exponents: list[float], ends, target_entropy, repeat_limit, budget, total) -> list[bool]:
+    """For each exponent whether it can go down further: one pass over the sources, a row an exponent comes back.
 
-def _entropy(weights: Column) -> Column:
-    return F.aggregate(weights, F.lit(0.0), lambda s, w: s - F.when(w > 0, w * F.log2(w)).otherwise(0.0))
+    Raised to an exponent a of at most 1, the largest share is passed through least, the smallest most often."""
+    raised = shares.select("p", F.explode(F.array(*map(F.lit, exponents))).alias("a")).withColumn("x", F.pow("p", "a"))
+    sums = raised.groupBy("a").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.log2("p")).alias("l")).collect()
+    out = {}
+    for r in sums:
+        most = ends[0] ** (r["a"] - 1) / r["s"]
+        passes = most * budget / total if budget is not None else (ends[0] / ends[1]) ** (r["a"] - 1)
+        entropy = math.log2(r["s"]) - r["a"] / r["s"] * r["l"]
+        out[r["a"]] = entropy < target_entropy if target_entropy is not None else passes <= repeat_limit
+    return [out[a] for a in exponents]
 
 
 def mixing_weights(sources: DataFrame, target_entropy: float | None = None, repeat_limit: float | None = REPEAT_LIMIT, budget: int | None = None, steps: int = STEPS) -> DataFrame:
@@ -47,38 +56,31 @@ def mixing_weights(sources: DataFrame, target_entropy: float | None = None, repe
     nearest end if none has).  Else the smallest exponent under which no source gets more than
     ``repeat_limit`` passes.  ``budget``: total tokens; null means just as many as let every
     source be passed through at least once, so that no document is lost.  Sources without a
-    token get weight 0 and one pass.  One row holds the shares of all sources while bisecting:
-    a number a source, nothing that grows with the documents."""
+    token get weight 0 and one pass.  The exponent is bisected ``FAN`` ways a step; sources stay a
+    distributed table, however many they are."""
     need(sources, "source", "tokens")
-    live = sources.where("tokens > 0").agg(F.sort_array(F.collect_list(F.struct("source", "tokens"))).alias("s"), F.sum("tokens").alias("total"))
-    live = live.withColumn("p", F.transform("s", lambda x: x["tokens"] / F.col("total")))
-
-    def epochs(weights: Column) -> Column:
-        ratios = F.zip_with(weights, F.col("p"), lambda w, p: w / p)
-        unit = F.lit(float(budget)) / F.col("total") if budget is not None else 1.0 / F.array_min(ratios)
-        return F.transform(ratios, lambda r: r * unit)
-
-    def low_enough(a: Column) -> Column:
-        """Whether the exponent can go down further."""
-        weights = _powered(F.col("p"), a)
-        return _entropy(weights) < target_entropy if target_entropy is not None else F.array_max(epochs(weights)) <= repeat_limit
-
-    lo, hi = F.col("r.lo"), F.col("r.hi")
-    bounds = live.withColumn("r", F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))
-    if target_entropy is not None or repeat_limit is not None:
-        folded = F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)),
-            F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")),
-            lambda r, _: F.when(low_enough((r["lo"] + r["hi"]) / 2), F.struct(r["lo"].alias("lo"), ((r["lo"] + r["hi"]) / 2).alias("hi"))).otherwise(F.struct(((r["lo"] + r["hi"]) / 2).alias("lo"), r["hi"].alias("hi"))),
-        )
-        bounds = live.withColumn("r", folded)
-    else:
-        lo = hi = F.lit(1.0)
-    solved = bounds.withColumn("alpha", F.when(lo < 1e-12, F.lit(0.0)).otherwise(hi)).withColumn("w", _powered(F.col("p"), F.col("alpha"))).withColumn("e", epochs(F.col("w")))
-    rows = solved.select("alpha", F.explode(F.arrays_zip("s", "p", "w", "e")).alias("x")).select(F.col("x.s.source").alias("source"), F.col("x.p").alias("share"), "alpha", F.col("x.w").alias("weight"), F.col("x.e").alias("epochs"))
-    out = sources.join(rows, sources["source"].eqNullSafe(rows["source"]), "left").select(
-        sources["source"], "tokens", F.coalesce("share", F.lit(0.0)).alias("share"), "alpha", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("epochs", F.lit(1.0)).alias("epochs")
-    )
+    live = sources.where("tokens > 0")
+    known = live.agg(F.sum("tokens").alias("t"), F.min("tokens").alias("least"), F.max("tokens").alias("most")).first()
+    lo, hi = 0.0, 1.0
+    total = known["t"] or 1
+    ends = ((known["least"] or 1) / total, (known["most"] or 1) / total)
+    shares = live.withColumn("p", F.col("tokens") / F.lit(total))
+    if known["t"] and (target_entropy is not None or repeat_limit is not None):
+        for _ in range(steps):
+            tried = [lo + (hi - lo) * k / FAN for k in range(FAN)]
+            low = _low_enough(shares, tried, ends, target_entropy, repeat_limit, budget, total)
+            if low[0]:
+                hi = lo
+                break
+            k = max(i for i, x in enumerate(low) if not x)
+            lo, hi = tried[k], tried[k + 1] if k + 1 < FAN else hi
+    alpha = hi
+    norm = shares.agg(F.sum(F.pow("p", F.lit(alpha)))).first()[0] or 1.0
+    weight = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(total), F.lit(alpha)) / F.lit(norm)).otherwise(0.0)
+    # Passes through the largest source, if no budget is given, are exactly one.
+    unit = F.lit(float(budget)) / F.lit(total) / F.lit(norm) if budget is not None else F.lit(float(ends[1] ** (1 - alpha)))
+    epochs = F.when(F.col("tokens") > 0, F.greatest(F.pow(F.col("tokens") / F.lit(total), F.lit(alpha - 1)) * unit, F.lit(0.0 if budget is not None else 1.0))).otherwise(1.0)
+    out = sources.select("source", "tokens", (F.col("tokens") / F.lit(total)).alias("share"), F.lit(alpha if known["t"] else None).cast("double").alias("alpha"), weight.alias("weight"), epochs.alias("epochs"))
     return out.withColumn("budget_tokens", F.round(F.col("epochs") * F.col("tokens")).cast("long"))
 
 
@@ -109,8 +111,14 @@ def mix(docs: DataFrame, target_entropy: float | None = None, repeat_limit: floa
         return joined.withColumn("_block", F.pmod(F.xxhash64("_key"), F.col("_blocks")))
 
     order = F.xxhash64(F.lit(seed + 1), "source", "_whole", "_block")
-    blocks = with_plan(narrow).groupBy("source", "_whole", "_rest", "_block").agg(F.sum("n_tokens").alias("_size"))
-    ends = F.sum("_size").over(W.partitionBy("source").orderBy(order, "_block"))
+    blocks = with_plan(narrow).groupBy("source", "_whole", "_rest", "_blocks", "_block").agg(F.sum("n_tokens").alias("_size"))
+    # Prefix sums on two levels: slices of the keyed order, about SLICE blocks each, then blocks inside a slice.
+    slices = F.ceil(F.col("_blocks") / SLICE)
+    blocks = written(blocks.withColumn("_order", order).withColumn("_slice", F.floor((F.col("_order") / F.lit(2.0**64) + 0.5) * slices)), "mixorder")
+    per_slice = blocks.groupBy("source", "_slice").agg(F.sum("_size").alias("_n"))
+    begins = per_slice.select(F.col("source").alias("_of"), F.col("_slice").alias("_at"), (F.sum("_n").over(W.partitionBy("source").orderBy("_slice")) - F.col("_n")).alias("_begin"))
+    blocks = blocks.join(begins, blocks["source"].eqNullSafe(begins["_of"]) & (blocks["_slice"] == begins["_at"]))
+    ends = F.col("_begin") + F.sum("_size").over(W.partitionBy("source", "_slice").orderBy("_order", "_block"))
     blocks = written(blocks.withColumn("_end", ends).withColumn("_left", F.col("_rest") - (F.col("_end") - F.col("_size"))).select(F.col("source").alias("_source"), F.col("_block").alias("_b"), "_size", "_left").where("_left > 0"), "mixblocks")
     # Only the one block of a source in which the budget ends is looked at row by row.
     cut = blocks.where("_left < _size")

@@ -265,7 +265,8 @@ def exact_similarity(a: str | None, b: str | None, size: int = SHINGLE) -> float
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, seed: int = SEED, block: int = BLOCK, stats: dict | None = None) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest doc_id of its class), class_size (rows),
-    kept (one row of each class: that of the smallest doc_id).
+    kept (one row of each class: that of the smallest doc_id), text_sha256 (of the lower-cased text, so that
+    rows which share an id can be told apart).  Other columns, whatever their names, are not looked at.
 
     Texts that agree after lower-casing A-Z are one node; null text is empty; texts without words
     are alike.  A null doc_id is the largest; of repeated rows with the smallest doc_id one is
@@ -325,7 +326,7 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGL
     by_class = nodes.join(labels.select(F.col("v").alias("_rid"), "c"), "_rid", "left").withColumn("c", F.coalesce("c", "_rid"))
     classes = written(by_class.groupBy("c").agg(F.min("m").alias("best"), F.sum("n").alias("class_size")), "classes")
     named = written(by_class.select("_key", "c").join(classes, "c").select("_key", F.col("best.doc_id").alias("class_id"), F.col("best._rid").alias("_kept"), "class_size"), "named")
-    return signed.select("_rid", "doc_id", "_key").join(named, "_key").select("doc_id", "class_id", "class_size", (F.col("_rid") == F.col("_kept")).alias("kept"))
+    return signed.select("_rid", "doc_id", "_key").join(named, "_key").select("doc_id", "class_id", "class_size", (F.col("_rid") == F.col("_kept")).alias("kept"), F.lower(F.hex("_key")).alias("text_sha256"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

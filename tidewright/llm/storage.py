@@ -2,7 +2,8 @@
 
 Lineage is cut by writing a table under ``spark.checkpoint.dir``, the folder that
 driver and executors share; a lost executor then costs a re-read, not a re-run.
-Only where that setting is absent (tests on one machine) a temporary folder is set.
+Only where that setting is absent and the master is local (tests on one machine) a temporary
+folder is set; on a cluster its absence is an error, as a folder of one machine would lose rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = getattr(spark.sparkContext, "_tidewright_dir", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = "file://" + tempfile.mkdtemp(prefix="tidewright-")
             spark.sparkContext.setCheckpointDir(named)
             spark.sparkContext._tidewright_dir = named
@@ -32,11 +35,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back with the same schema."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewright_path = path
     return out

@@ -22,26 +22,29 @@ THRESHOLD = 0.5
 #: (host suffix, path prefix, verdict) of the production query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-#: The labelled table of the production query is spelled out from these parts.
-BAD_WORDS = ("ads", "track", "spam", "farm", "casino", "win", "adult", "xxx", "cheap", "pills", "free", "bets", "poker", "loan", "replica", "click", "popup", "viagra", "slots", "jackpot")
-GOOD_WORDS = ("news", "library", "docs", "school", "museum", "river", "garden", "science", "history", "travel", "recipes", "weather", "thorin", "anthea", "tionar", "rethon", "erandin", "wheren", "theran", "ouring")
-GOOD_PARTS = ("www.", "blog.", "m.", "")
-TOPS = ("com", "net", "org")
-#: Plain paths occur with both labels, so that they say nothing; the last two of each do.
-PLAIN_PATHS = ("/en/1042", "/de/770.html", "/fr/930/", "/es/51?page=2", "/en/126#top", "")
-GOOD_PATHS = (*PLAIN_PATHS, "/en/about", "/article/2041")
-BAD_PATHS = (*PLAIN_PATHS, "/bonus/claim", "/buy-now")
+#: Words of unwanted and of plain sites, as anyone would list them; the labelled table of the production query
+#: is spelled out from these, from usual endings and from usual paths.
+UNWANTED = "casino poker slots jackpot roulette betting bingo lottery viagra cialis pharmacy pills dietpill steroid xxx porn adult escort webcam hookup torrent crack keygen warez serial payday loan credit forex bitcoin profit giveaway prize coupon replica handbag popup adserver tracker clickbait".split()
+PLAIN = "news journal times museum library archive school university science history geography garden kitchen recipes travel hiking weather music theatre cinema literature poetry chess football cycling health clinic council parliament ministry court forum wiki docs developer software hardware astronomy".split()
+UNWANTED_PATHS = ("/bonus/claim-now", "/buy-cheap?aff=77", "/win/free-spins", "/click.php?id=9", "/offer/limited/")
+PLAIN_PATHS = ("/about", "/article/2041", "/archive/2019/05/", "/contact.html", "/guide/introduction")
+#: Paths that occur with both labels, so that they say nothing.
+SHARED_PATHS = ("", "/", "/index.html", "/en/", "/page?id=3")
+TOPS = ("com", "net", "org", "info", "co.uk")
+FRONTS = ("", "www.", "m.", "blog.")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for unwanted): pairs of words from one list as hosts, on the same paths and tops."""
+    """(url, 1 for unwanted): hosts of one or two words of a list, with either list's paths."""
     rows = []
-    for words, paths, bad in ((BAD_WORDS, BAD_PATHS, 1), (GOOD_WORDS, GOOD_PATHS, 0)):
+    for words, paths, bad in ((UNWANTED, UNWANTED_PATHS, 1), (PLAIN, PLAIN_PATHS, 0)):
         n = len(words)
         for i, word in enumerate(words):
-            for k in range(8):
-                other, glue = words[(i + 1 + 2 * k) % n], "-" if bad or k % 4 == 0 else ""
-                rows.append((f"http{'s' * (k % 2)}://{GOOD_PARTS[(i + k) % 4]}{word}{glue}{other}.example.{TOPS[(i + k) % 3]}{paths[k]}", bad))
+            for k in range(10):
+                other = words[(i + 1 + 3 * k) % n]
+                host = (word, f"{word}-{other}", f"{word}{other}", f"the{word}", f"{other}{k}{word}")[k % 5]
+                path = SHARED_PATHS[(i + k) % 5] if k % 2 else paths[(i + k // 2) % 5]
+                rows.append((f"http{'s' * (k // 5)}://{FRONTS[(i + k) % 4]}{host}.{TOPS[(i * 3 + k) % 5]}{path}", bad))
     return rows
 
 
@@ -114,11 +117,13 @@ def judge(pages: DataFrame, weights: list[float], rules=RULES, threshold: float
 
     A rule fits its host and all subdomains if the path starts with the rule's path; of several
     the longest wins, of equally long ones the first given.  Without a fitting rule the model
-    decides: block at ``threshold`` or more.  A null url has an empty host and path."""
+    decides: block at ``threshold`` or more.  A null url has an empty host and path.  Rows are judged one by
+    one: repeated rows stay repeated, an empty table gives an empty result."""
     need(pages, "url")
     rows = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for host, path, says in sorted(rules, key=lambda r: len(r[0] + r[1])):  # the longest is tested first: outermost
+    # The longest is tested first, so it is outermost; of equally long ones the first given.
+    for host, path, says in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(says)).otherwise(verdict)
     rows = rows.withColumn("score", url_score(F.col("host"), F.col("path"), weights))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm.memory import returning
 from tidewright.llm.storage import need, new_path, read_table, settings
-from tidewright.llm.words import runs
+from tidewright.llm.words import runs, spelled
 
 MAGIC = b"TWID\x02"
 BLOCK = 2048
@@ -248,11 +248,18 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray, order0: _Order0) -> n
             group += (lanes.cdf.take(lanes.at_group + group + (1 << k)) <= share) << k
         at = lanes.at_group + group
         begin = lanes.cdf.take(at)
-        x = order0.lookup.take((group << SHARE) + np.minimum((inner - (begin << SHARE)) // (lanes.cdf.take(at + 1) - begin), (1 << SHARE) - 1))
-        x = np.where(is1, one, np.where(is2, two, x)).astype(np.int32)
+        many = lanes.cdf.take(at + 1) - begin
+        begin <<= SHARE
+        x = order0.lookup.take((group << SHARE) + np.minimum(((inner - begin) / many).astype(np.int64), (1 << SHARE) - 1))
+        begin += many * order0.low.take(x)
+        many *= order0.width.take(x)
+        for here, rank, below, own in ((is1, one, below1, own1), (is2, two, below2, own2)):
+            np.copyto(x, rank, where=here)
+            np.copyto(begin, below, where=here)
+            np.copyto(many, own, where=here)
         x = np.minimum(x, last)  # a damaged block decodes to something, and its crc tells
         group = order0.group.take(x)
-        lanes.code(x, *lanes.order0(group, order0.low.take(x), order0.width.take(x)))
+        lanes.code(x, begin, many)
         lanes.count(group)
         np.maximum(lanes.range, np.uint64(1), out=lanes.range)
         for m in lanes.shift():
@@ -331,8 +338,8 @@ WORDWISE = (
 )
 #: White space that parts words; other white space stays inside a word, where the library meets it.
 PARTS = np.isin(np.arange(256), [32, 9, 10, 13])
-#: Distinct words whose ids a worker keeps; beyond it starts anew, which costs time and changes no id.
-KEPT_WORDS = 1 << 20
+#: Distinct units whose ids a worker keeps; beyond it starts anew, which costs time and changes no id.
+KEPT_UNITS = 1 << 21
 
 
 @cache
@@ -350,87 +357,119 @@ def tokenizer(path: str):
 
 
 @cache
-def added_tokens(path: str) -> tuple[str, ...]:
-    """Lower-cased texts of the tokens that the library looks for before it lower-cases."""
-    return tuple(t.content.lower() for t in tokenizer(path)[0].get_added_tokens_decoder().values())
+def added_heads(path: str) -> np.ndarray:
+    """True for the first bytes, in any case, of tokens that the library looks for before it lower-cases."""
+    out = np.zeros(256, bool)
+    for t in tokenizer(path)[0].get_added_tokens_decoder().values():
+        for head in (t.content.lower().encode()[:1], t.content.upper().encode()[:1]):
+            out[list(head)] = True
+    return out
 
 
 class _Known:
-    """Ids of words that this worker has encoded before, one tokenizer at a time."""
+    """Ids of units that this worker has encoded before, one tokenizer at a time."""
 
-    path, words = None, None
+    path, units = None, None
 
     @classmethod
-    def of(cls, words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start and size in them) of distinct words."""
-        if cls.path != path or len(cls.words) > KEPT_WORDS:
-            cls.path, cls.words, cls.ids = path, pa.array([], pa.large_binary()), np.zeros(0, np.int32)
+    def of(cls, units: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start and size in them) of distinct units."""
+        if cls.path != path or len(cls.units) > KEPT_UNITS:
+            cls.path, cls.units, cls.ids = path, pa.array([], pa.large_binary()), np.zeros(0, np.int32)
             cls.starts = cls.sizes = np.zeros(0, np.int64)
-        at = pc.index_in(words, value_set=cls.words)
+        at = pc.index_in(units, value_set=cls.units)
         if at.null_count:
-            new = words.filter(pc.is_null(at))
-            ids, sizes = encode_words(new.cast(pa.large_string()).to_pylist(), path)
+            new = units.filter(pc.is_null(at))
+            ids, sizes = encode_units(new.cast(pa.large_string()).to_pylist(), path)
             cls.starts = np.concatenate([cls.starts, np.cumsum(sizes) - sizes + len(cls.ids)])
             cls.sizes, cls.ids = np.concatenate([cls.sizes, sizes]), np.concatenate([cls.ids, ids])
-            cls.words = pa.concat_arrays([cls.words, new])
-            at = pc.index_in(words, value_set=cls.words)
+            cls.units = pa.concat_arrays([cls.units, new])
+            at = pc.index_in(units, value_set=cls.units)
         at = at.to_numpy(zero_copy_only=False)
         return cls.ids, cls.starts[at], cls.sizes[at]
 
 
+#: Kinds of bytes: ASCII letters and digits, and ASCII marks.
+PLAIN_BYTE = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+MARK_BYTE = np.array([32 < b < 127 and not chr(b).isalnum() for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def units_of(words: pa.Array, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct units, first unit of each word, second unit or -1).
+
+    The marks at the end of a word, behind an ASCII letter or digit, are a token run of their own, and the
+    tokenizer lower-cases: so a word is its stem, in lower case if all ASCII, and its marks.  A word that may
+    hold an added token stays as it is, as such a token is matched by exact case."""
+    data, offsets = spelled(words)
+    size = np.diff(offsets)
+    place = np.arange(len(data))
+    stop = np.maximum.accumulate(np.where(MARK_BYTE[data], -1, place))[offsets[1:] - 1] if len(data) else np.zeros(0, np.int64)
+    total = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[offsets])
+    whole = total(added_heads(path)[data]) > 0
+    cut = ~whole & (stop >= offsets[:-1]) & (stop < offsets[1:] - 1)
+    cut[cut] = PLAIN_BYTE[data[stop[cut]]]
+    stem = np.where(cut, stop + 1 - offsets[:-1], size)
+    changes = np.repeat(~whole & (total(data >= 128) == 0), size)
+    data = np.where(changes, LOWER[data], data)
+    tailed = np.flatnonzero(cut)
+    starts, sizes = np.concatenate([offsets[:-1], (offsets[:-1] + stem)[tailed]]), np.concatenate([stem, (size - stem)[tailed]])
+    at, _ = _gathered(starts, sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[at]))]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    second = np.full(len(size), -1)
+    second[tailed] = codes[len(size) :]
+    return coded.dictionary, codes[: len(size)], second
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, ids of each text) as the library gives them for the whole texts.
 
-    Where the tokenizer drops white space and never joins across it, each distinct word is encoded once;
-    any other tokenizer gets whole texts."""
+    Where the tokenizer drops white space and never joins across it, each distinct unit of a word is encoded
+    once; any other tokenizer gets whole texts."""
     made, _, apart = tokenizer(path)
     if not apart:
         found = [e.ids for e in made.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
         return np.fromiter((i for f in found for i in f), np.int32), np.fromiter(map(len, found), np.int64, len(found))
     words, per_text = runs(texts, PARTS)
     coded = words.dictionary_encode()
-    ids, starts, sizes = _Known.of(coded.dictionary, path)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    at, n = _gathered(starts[codes], sizes[codes])
-    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
+    units, first, second = units_of(coded.dictionary, path)
+    ids, starts, sizes = _Known.of(units, path)
+    # Unit -1 is none: it has no id.
+    starts, sizes = np.append(starts, 0), np.append(sizes, 0)
+    both = np.stack([first, second], 1)[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
+    at, n = _gathered(starts[both], sizes[both])
+    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], 2 * np.cumsum(per_text)])]
     return ids[at], np.diff(cuts)
 
 
-def encode_words(given: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, ids of each word).  Words go in groups, parted by a mark whose id no word without the
-    mark can have."""
+def encode_units(given: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units, ids of each).  They go in groups, parted by a mark whose id no unit without the mark
+    can have."""
     made, mark, _ = tokenizer(path)
-    # A comma or stop behind an ASCII letter is a token of its own, and the tokenizer lower-cases: fewer words are left to encode.
-    # A word that holds an added token in any case stays as it is: such a token is matched by exact case.
-    added = added_tokens(path)
-    kept = [w.isascii() and any(a in w.lower() for a in added) for w in given]
-    tail = np.fromiter(((w[-1:] == ",") + 2 * (w[-1:] == ".") if not k and w[-2:-1].isalpha() and w[-2:-1].isascii() else 0 for w, k in zip(given, kept, strict=True)), np.int64, len(given))
-    stems = pa.array([w if same else (w[:-1] if k else w).lower() if w.isascii() else (w[:-1] if k else w) for w, k, same in zip(given, tail.tolist(), kept, strict=True)], pa.large_string()).dictionary_encode()
-    stem, uniques = stems.indices.to_numpy(zero_copy_only=False), stems.dictionary.to_pylist()
-    ends_in = np.array([-1, *(made.encode(c, add_special_tokens=False).ids[0] for c in ",.")], np.int32)
-    sizes, parts = np.zeros(len(uniques), np.int64), []
-    plain = [k for k, w in enumerate(uniques) if MARK not in w and len(w) < 1000] if mark is not None else []
-    odd = sorted(set(range(len(uniques))) - set(plain)) if len(plain) < len(uniques) else []
+    sizes, parts = np.zeros(len(given), np.int64), []
+    plain = [k for k, w in enumerate(given) if MARK not in w and len(w) < 1000] if mark is not None else []
+    odd = sorted(set(range(len(given))) - set(plain)) if len(plain) < len(given) else []
     glue, group = f" {MARK} ", 64
-    order = plain + odd
     for begin in range(0, len(plain), group * 256):
         some = plain[begin : begin + group * 256]
-        lines = [glue.join(uniques[k] for k in some[i : i + group]) + glue for i in range(0, len(some), group)]
-        ids = np.fromiter((i for e in made.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids), np.int32)
+        lines = [glue.join([given[k] for k in some[i : i + group]]) + glue for i in range(0, len(some), group)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in made.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(ids == mark)
         sizes[some] = np.diff(ends, prepend=-1) - 1
         parts.append(np.delete(ids, ends))
     for k in odd:
-        one = np.array(made.encode(uniques[k], add_special_tokens=False).ids, np.int32)
+        one = np.array(made.encode(given[k], add_special_tokens=False).ids, np.int32)
         sizes[k] = len(one)
         parts.append(one)
-    starts, ordered = np.zeros(len(uniques), np.int64), np.array(order, np.int64)
-    starts[ordered] = np.cumsum(sizes[ordered]) - sizes[ordered]
-    # One more place behind each stem, which its mark fills; the places are dropped where there is none.
     flat = np.concatenate([*parts, np.zeros(0, np.int32)])
-    begin, n = _gathered(starts[stem], sizes[stem])
-    flat = np.insert(flat[begin], np.cumsum(n), ends_in[tail])
-    return flat[flat >= 0], n + (tail > 0)
+    if odd:
+        order = np.array(plain + odd, np.int64)
+        starts = np.zeros(len(given), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        flat = flat[_gathered(starts, sizes)[0]]
+    return flat, sizes
 
 
 def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

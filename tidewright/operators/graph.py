@@ -2,42 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "customer"
+COMPACTED = 6
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (id) reachable from ``roots`` (id) over ``edges`` (src, dst), cycles allowed.
 
     A frontier loop: each round joins only the new nodes with the edges and drops known ones by an
-    anti-join.  Lineage is cut by checkpoint(), so a lost executor costs a re-read."""
-    known = roots.select("id").distinct().checkpoint()
-    frontier = known
+    anti-join.  What is known stays in the parts that the rounds wrote, which are put together once in
+    COMPACTED rounds; nothing known is written again each round.  Lineage is cut by checkpoint(), so a lost
+    executor costs a re-read."""
+    frontier = roots.select("id").distinct().checkpoint()
+    parts = [frontier]
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = step.join(known, "id", "left_anti").checkpoint()
-        known = known.unionByName(frontier).checkpoint()
-    return known
+        for known in parts:
+            step = step.join(known, "id", "left_anti")
+        frontier = step.checkpoint()
+        parts.append(frontier)
+        if len(parts) > COMPACTED:
+            parts = [reduce(DataFrame.unionByName, parts).checkpoint()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def resolved(pointers: DataFrame, hops: int = 16) -> DataFrame:
-    """(id, target) after following (id, next) for at most ``hops`` hops; null if it has not ended."""
-    steps = pointers.select("id", F.col("next").alias("at"))
-    follow = pointers.select(F.col("id").alias("at"), F.col("next").alias("further"))
-    for k in range(hops):
-        steps = steps.join(follow, "at", "left").select("id", F.when(F.col("further").isNull(), F.col("at")).otherwise(F.col("further")).alias("at"), F.col("further").isNull().alias("ended"))
-        if k % 4 == 3:
-            steps = steps.checkpoint()
-    return steps.select("id", F.when(F.col("ended"), F.col("at")).alias("target"))
+    """(id, target) after following (id, next) for at most ``hops`` hops (a power of two); null if it has not
+    ended.  Pointers are doubled: each round follows what the round before had found, so that is four joins."""
+    known = pointers.select("id", F.col("next").alias("at"), F.lit(False).alias("ended"))
+    ends = pointers.select(F.col("id").alias("at"), F.lit(True).alias("more"))
+    known = known.join(ends, "at", "left").select("id", "at", F.col("more").isNull().alias("ended"))
+    for _ in range(hops.bit_length() - 1):
+        known = known.checkpoint()
+        further = known.select(F.col("id").alias("at"), F.col("at").alias("far"), F.col("ended").alias("far_ended"))
+        known = known.join(further, "at", "left").select("id", F.coalesce("far", "at").alias("at"), (F.col("ended") | F.coalesce("far_ended", F.lit(False))).alias("ended"))
+    return known.select("id", F.when(F.col("ended"), F.col("at")).alias("target"))
 
 
 def _checkpoints(spark: SparkSession) -> None:
     import tempfile
 
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
 
 
 def reachable_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,6 @@ QUERIES = {
     "raster_format": """WITH h AS (SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'FFD8FFE0' WHEN 1 THEN '89504E470D0A1A0A' WHEN 2 THEN '524946460000000057454250' WHEN 3 THEN '0000001C6674797061766966' WHEN 4 THEN '474946383961' WHEN 5 THEN '49492A00' ELSE '424D' END AS head FROM documents)
       SELECT id, CASE WHEN head LIKE 'FFD8FF%' THEN 'jpeg' WHEN head LIKE '89504E470D0A1A0A%' THEN 'png' WHEN substr(head, 1, 8) = '52494646' AND substr(head, 17, 8) = '57454250' THEN 'webp' END AS format,
         CASE WHEN substr(head, 9, 8) = '66747970' THEN 'HEIF or AVIF' WHEN head LIKE '474946%' THEN 'GIF' WHEN head LIKE '49492A00%' OR head LIKE '4D4D002A%' THEN 'TIFF' WHEN head LIKE '424D%' THEN 'BMP' ELSE 'unknown' END AS description FROM h""",
-    # P5: option ranges
-    "options_validation": "SELECT p_partkey AS id, p_size * 2 AS quality, p_size * 15 AS dpi, CASE WHEN p_size * 2 NOT BETWEEN 30 AND 95 OR p_size * 15 NOT BETWEEN 72 AND 600 THEN 'invalidOptions' END AS error_code FROM part",
     # Strictly over the limit is refused
     "size_guard": f"WITH {FILES} SELECT id, size, CASE WHEN size > 2000 THEN 'tooLarge' END AS error_code FROM files",
     # The first reason that holds, in the order of each format
@@ -35,9 +33,6 @@ QUERIES = {
     "candidate_choice": f"""WITH {FILES}, c AS (SELECT id, size, CAST(floor(size * (0.90 + (id % 13) / 100.0)) AS BIGINT) AS lossless, CAST(floor(size * (0.88 + (id % 17) / 100.0)) AS BIGINT) AS lossy FROM files),
       b AS (SELECT *, least(lossless, size) AS reference FROM c)
       SELECT id, size, CASE WHEN lossy <= reference * 0.98 THEN lossy WHEN lossless < size THEN lossless ELSE size END AS output_size, CASE WHEN lossy <= reference * 0.98 THEN 'lossy' WHEN lossless < size THEN 'lossless' ELSE 'original' END AS choice FROM b""",
-    # What becomes of a chunk
-    "metadata_policy": """WITH c AS (SELECT l_orderkey, l_linenumber, CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN 'IHDR' WHEN 1 THEN 'tEXt' WHEN 2 THEN 'iCCP' WHEN 3 THEN 'eXIf' WHEN 4 THEN 'prVt' ELSE 'IDAT' END AS name FROM lineitem)
-      SELECT l_orderkey, l_linenumber, name, CASE WHEN ascii(substr(name, 1, 1)) < 97 OR name IN ('iCCP', 'gAMA', 'cHRM', 'sRGB', 'tRNS', 'pHYs') THEN 'keep' WHEN name = 'eXIf' THEN 'replace' ELSE 'drop' END AS action FROM c""",
     # Accepted and rejected files of a tool
     "accepted_files": f"WITH {FILES}, k AS (SELECT id, ext, {KIND} AS kind FROM files) SELECT id, kind, kind IN ('pdf', 'image') AND lower(ext) IN ('pdf', 'jpg', 'jpeg', 'png') AS accepted FROM k",
     # Another tool's file, and a missing id, are errors as data
@@ -48,12 +43,6 @@ QUERIES = {
     "evidence_summary": "SELECT event_type, count(*) AS runs, COUNTIF(value IS NULL) AS refused, COUNTIF(value > 50) AS slow, max(value) AS worst FROM events GROUP BY event_type",
     # Hidden names and package folders
     "pruned_entries": """WITH p AS (SELECT page_id AS id, LASTPART(url) AS name, url FROM pages) SELECT id, name, name LIKE '.%' AS hidden, MATCHES(lower(url), '[.](app|bundle|framework|pages|numbers|key)/') AS in_package FROM p WHERE name <> ''""",
-    # One registration for each (content, scope), ids in intake order
-    "registered": "WITH f AS (SELECT min(doc_id) AS first_id, source AS scope, SHA256(text) AS path FROM documents GROUP BY source, SHA256(text)) SELECT row_number() OVER (ORDER BY first_id) AS id, first_id, scope, path FROM f",
-    # Files beyond a folder's cap, in scan order
-    "folder_cap": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lower(lang), lang, doc_id) AS rn FROM documents) SELECT source, COUNTIF(rn <= 20) AS added, COUNTIF(rn > 20) AS cut, max(rn) > 20 AS truncated FROM r GROUP BY source",
-    # The outcome of a drop
-    "intake_outcome": f"WITH {FILES}, k AS (SELECT scope, {KIND} AS kind, size FROM files) SELECT scope, COUNTIF(kind IN ('pdf', 'image')) AS added, COUNTIF(kind NOT IN ('pdf', 'image')) AS ignored, COUNTIF(size < 100) > 0 AS any_small FROM k GROUP BY scope",
     # File x preset; presets are four rows
     "preset_matrix": """WITH presets AS (SELECT * FROM (VALUES ('lossless', 0, 0), ('balanced', 85, 200), ('maximum', 70, 150), ('screen', 65, 100)) AS t(preset, quality, dpi))
       SELECT s_suppkey AS id, preset, CASE WHEN quality = 0 THEN NULL ELSE quality END AS quality, CASE WHEN dpi = 0 THEN NULL ELSE dpi END AS dpi FROM supplier CROSS JOIN presets""",
@@ -61,98 +50,53 @@ QUERIES = {
     "latest_result": "WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id AS id, event_id AS result, event_type AS extension FROM r WHERE rn = 1",
     # Saved and unsaved results
     "unsaved_results": "WITH r AS (SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS saved, max(event_id) AS made FROM events GROUP BY user_id) SELECT COUNTIF(saved IS NULL) AS unsaved, COUNTIF(saved IS NOT NULL) AS saved, count(*) AS results FROM r",
-    # Name (2), name (3) ...
-    "unique_names": "WITH n AS (SELECT doc_id, source || '-' || lang AS stem, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS rn FROM documents) SELECT doc_id, stem || CASE WHEN rn = 1 THEN '' ELSE ' (' || CAST(rn AS VARCHAR(20)) || ')' END || '.txt' AS name FROM n",
     # Targets that are inputs of this session
     "refused_targets": "SELECT s_suppkey AS id FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_nationkey = s_nationkey)",
-    # Identical objects merged, references rewritten once, not transitively
-    "rewritten_references": "WITH k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY SHA256(text)) AS keeper FROM documents), r AS (SELECT doc_id AS src, keeper AS dst FROM k WHERE doc_id <> keeper) SELECT l.doc_id AS owner, l.quality, coalesce(r.dst, l.doc_id) AS reference FROM labels l LEFT JOIN r ON l.doc_id = r.src",
     # Width and height maxima are taken apart
     "largest_placement": "WITH m AS (SELECT l_partkey, max(l_quantity) AS width_pt, max(l_extendedprice) AS height_pt FROM lineitem GROUP BY l_partkey) SELECT p_partkey, width_pt, height_pt FROM part LEFT JOIN m ON p_partkey = l_partkey",
     # The first resource by priority
     "resource_priority": "WITH c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS rn FROM orders) SELECT o_custkey AS owner, o_orderkey AS resource FROM c WHERE rn = 1",
     # Kept, dropped and newly added
     "pruned_objects": "SELECT COUNTIF(used) AS kept, COUNTIF(NOT used) AS removed FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS used FROM customer) t",
-    "added_files": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    # Ranges to glyphs
-    "glyph_dict": "WITH r AS (SELECT n_nationkey AS fd, n_nationkey * 40 AS first, n_nationkey * 40 + 40 AS next FROM nation) SELECT EXPLODE_RANGE(CAST(first AS INT), CAST(next - 1 AS INT)) AS glyph, fd FROM r",
     # Content digest as a cache key
     "content_digest": "SELECT SHA256(text) AS digest, count(*) AS uses, min(doc_id) AS computed_for FROM documents GROUP BY SHA256(text)",
     # Baseline and patched by case
     "paired_runs": "SELECT a.item_id, a.text = b.text AS same, length(a.text) - length(b.text) AS difference FROM benchmark a JOIN benchmark b ON a.item_id = b.item_id - 1",
-    # Batch totals
-    "batch_totals": "SELECT o_orderstatus AS status, count(*) AS jobs, COUNTIF(o_totalprice > 100000) AS recompressed, COUNTIF(o_custkey % 7 = 0) AS skipped, COUNTIF(o_orderpriority = '1-URGENT') > 0 AS any_outdated FROM orders GROUP BY o_orderstatus",
     # Any transparent, bounding box of what is visible
     "visible_box": f"WITH {LEVELS} SELECT vec_id, min(CASE WHEN v > 0 THEN x END) AS left_x, max(CASE WHEN v > 0 THEN x END) AS right_x, min(CASE WHEN v > 0 THEN y END) AS top_y, max(CASE WHEN v > 0 THEN y END) AS bottom_y, COUNTIF(v <= 0) > 0 AS any_clear FROM grid GROUP BY vec_id",
     # Symbol histogram
     "symbol_histogram": "SELECT l_returnflag AS class, l_linestatus AS tbl, CAST(l_quantity AS INT) AS symbol, least(count(*), 2147483647) AS n FROM lineitem GROUP BY 1, 2, 3",
-    # Flat and sharp pairs of a tile
-    "tile_pairs": f"WITH {LEVELS}, p AS (SELECT vec_id, abs(v - lag(v) OVER (PARTITION BY vec_id, y ORDER BY x)) AS d FROM grid) SELECT vec_id, COUNTIF(d <= 2) AS flat, COUNTIF(d >= 200) AS sharp, COUNTIF(d <= 2) * 100 < 35 * 56 AND COUNTIF(d >= 200) * 100 < 15 * 56 AS photographic FROM p GROUP BY vec_id",
     # Integral image by two running sums
     "integral_image": f"WITH {LEVELS}, r AS (SELECT vec_id, y, x, CAST(sum(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM grid) SELECT vec_id, y, x, CAST(sum(s) OVER (PARTITION BY vec_id, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM r",
-    # The last of the largest masks
-    "best_mask": f"WITH {LEVELS}, a AS (SELECT label, vec_id, COUNTIF(v > 0) AS area FROM grid GROUP BY label, vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY area DESC, vec_id DESC) AS rn FROM a) SELECT label, vec_id, area FROM r WHERE rn = 1",
     # Errors and IoU of neighbouring masks
-    "mask_metrics": f"WITH {LEVELS}, p AS (SELECT a.vec_id, a.v AS va, b.v AS vb FROM grid a JOIN grid b ON a.vec_id = b.vec_id - 1 AND a.i = b.i) SELECT vec_id, CAST(sum(abs(va - vb)) AS BIGINT) AS absolute_error, max(abs(va - vb)) AS worst, CASE WHEN COUNTIF(va > 0 OR vb > 0) = 0 THEN 1.0 ELSE CAST(COUNTIF(va > 0 AND vb > 0) AS DOUBLE) / COUNTIF(va > 0 OR vb > 0) END AS iou FROM p GROUP BY vec_id",
     "median_latency": "SELECT o_orderpriority, median(o_totalprice) AS middle, max(o_totalprice) AS worst FROM orders GROUP BY o_orderpriority",
     # Differential coding and its inverse, reset at restarts
-    "dc_differences": "WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, IDIV(l_linenumber - 1, 3) AS segment, CAST(l_quantity AS BIGINT) AS value FROM lineitem) SELECT l_orderkey, l_linenumber, segment % 8 AS restart, value - coalesce(lag(value) OVER (PARTITION BY l_orderkey, segment ORDER BY l_linenumber, l_partkey, l_suppkey, value), 0) AS diff FROM c",
+    "dc_differences": "WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, IDIV(l_linenumber - 1, 3) AS segment, CAST(l_quantity AS BIGINT) AS value FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN segment > 0 THEN (segment - 1) % 8 END AS restart, value - coalesce(lag(value) OVER (PARTITION BY l_orderkey, segment ORDER BY l_linenumber, l_partkey, l_suppkey, value), 0) AS diff FROM c",
     "dc_values": "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, IDIV(l_linenumber - 1, 3) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value FROM lineitem",
-    # Zeros before each non-zero coefficient
-    "zero_runs": "WITH c AS (SELECT l_orderkey, l_linenumber AS k FROM lineitem WHERE l_returnflag <> 'N') SELECT l_orderkey, k, k - coalesce(lag(k) OVER (PARTITION BY l_orderkey ORDER BY k), 0) - 1 AS zeros FROM c",
-    # Box sums and counts, clipped at the edges
-    "box_mean": f"WITH {LEVELS} SELECT vec_id, y, x, CAST(sum(v) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS BIGINT) AS total, count(*) OVER (PARTITION BY vec_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS cells FROM grid",
     # A stage's counter, clipped; position in the list
     "stage_counter": "SELECT user_id AS job, event_id, least(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), 5) AS done, count(*) OVER (PARTITION BY user_id) AS total FROM events",
-    # Dense renumbering
-    "renumbered": "SELECT n_nationkey AS old_id, dense_rank() OVER (ORDER BY n_regionkey, n_nationkey) AS new_id FROM nation",
     # T5: three names, then how many more
     "first_names": "WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS rn, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation) SELECT n_regionkey, JOINED(SORTED_LIST(n_name), ', ') || CASE WHEN max(n) > 3 THEN ' +' || CAST(max(n) - 3 AS VARCHAR(9)) ELSE '' END AS shown FROM n WHERE rn <= 3 GROUP BY n_regionkey",
     # names
     "output_names": f"WITH {FILES} SELECT id, coalesce(nullif(scope, ''), 'document') || '-compressed.' || CASE WHEN lower(ext) = 'jpeg' THEN 'jpeg' WHEN lower(ext) IN ('jpg', 'png', 'webp', 'pdf') THEN lower(ext) ELSE 'jpg' END AS name FROM files",
     "display_names": "SELECT page_id AS id, LASTPART(url) AS name FROM pages",
-    # floor, one decimal under ten percent
-    "reduction_label": f"WITH {FILES}, r AS (SELECT id, IDIV((size - CAST(floor(size * 0.9) AS BIGINT) + id % 300) * 1000, size + 300) AS permille FROM files) SELECT id, CASE WHEN permille < 100 THEN CAST(IDIV(permille, 10) AS VARCHAR(9)) || '.' || CAST(permille % 10 AS VARCHAR(9)) ELSE CAST(IDIV(permille, 10) AS VARCHAR(9)) END || ' %' AS label FROM r",
-    # decimal units, three significant digits, halves up; the unit is chosen before rounding
-    "size_label": """WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) * CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 977 WHEN 2 THEN 700001 ELSE 0 END + l_linenumber AS size FROM lineitem),
-      u AS (SELECT *, CASE WHEN size < 1000 THEN CAST(1 AS BIGINT) WHEN size < 1000000 THEN 1000 WHEN size < 1000000000 THEN 1000000 ELSE 1000000000 END AS unit FROM s),
-      d AS (SELECT *, CASE WHEN unit = 1 OR size >= 100 * unit THEN 1 WHEN size >= 10 * unit THEN 10 ELSE 100 END AS parts FROM u),
-      r AS (SELECT *, IDIV(size * parts * 2 + unit, unit * 2) AS n FROM d)
-      SELECT l_orderkey, l_linenumber, size, CAST(IDIV(n, parts) AS VARCHAR(20)) || CASE parts WHEN 1 THEN '' WHEN 10 THEN '.' || CAST(n % 10 AS VARCHAR(9)) ELSE '.' || lpad(CAST(n % 100 AS VARCHAR(9)), 2, '0') END
-        || CASE unit WHEN 1 THEN CASE WHEN size = 1 THEN ' byte' ELSE ' bytes' END WHEN 1000 THEN ' kB' WHEN 1000000 THEN ' MB' ELSE ' GB' END AS label FROM r""",
-    # Keys and messages without their empty parts
-    "options_key": "SELECT p_partkey AS id, concat_ws('+', CASE WHEN p_size > 10 THEN 'q' || CAST(p_size AS VARCHAR(9)) END, CASE WHEN p_size % 2 = 0 THEN 'strip' END, CASE WHEN p_retailprice > 1000 THEN 'photos' END) AS options_key FROM part",
     # error sentences from a dimension table, with a default
     "error_sentences": "WITH s AS (SELECT * FROM (VALUES ('tooLarge', 'The file is too large.'), ('malformed', 'The file is damaged.')) AS t(code, sentence)), e AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'tooLarge' WHEN 1 THEN 'malformed' ELSE 'other' END AS code FROM documents) SELECT id, e.code, coalesce(sentence, 'Something went wrong.') AS sentence FROM e LEFT JOIN s ON e.code = s.code",
     # session names
     "session_names": "WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'session-' ELSE 'sess-' END || CAST(c_custkey AS VARCHAR(20)) || '-1-' || CAST(c_nationkey AS VARCHAR(20)) AS name FROM customer) SELECT id, MATCHES(name, '^session-[0-9]+-[0-9]+-[0-9]+$') AND length(name) <= 80 AS is_session FROM n",
-    # target size by resolution, only 15 percent over the limit
-    "target_size": "SELECT p_partkey AS id, CASE WHEN p_size * 100 > 200 * 115 / 100 * 10 THEN CAST(greatest(1, floor(p_size * 100 * 20.0 / (p_size + 10) + 0.5)) AS BIGINT) ELSE p_size * 100 END AS width FROM part",
     # clamp, half up
     "clamped_quality": "SELECT p_partkey AS id, CAST(least(greatest(floor(p_retailprice / 20 + 0.5), 30), 95) AS BIGINT) AS quality FROM part",
     # Luma and compositing in integers
     "composited": f"WITH {LEVELS}, c AS (SELECT vec_id, i, abs(v) % 256 AS p, (abs(v) * 7) % 256 AS a FROM grid) SELECT vec_id, i, IDIV(p * a + 255 * (255 - a) + 127, 255) AS over_white, IDIV(77 * p + 150 * a + 29 * p, 256) AS luma FROM c",
-    # Sigmoid with a clamp, and the gates
-    "alpha_gates": f"WITH {LEVELS}, s AS (SELECT vec_id, i, 1 / (1 + exp(-least(greatest(v / 50.0, -30), 30))) AS alpha FROM grid) SELECT vec_id, i, CAST(round((CASE WHEN alpha < 0.02 THEN 0 WHEN alpha > 0.98 THEN 1 ELSE alpha END) * 1000000) AS BIGINT) AS alpha_millionths FROM s",
     # padding of 2 percent of the long side, clipped
     "padded_crop": "SELECT p_partkey AS id, greatest(0, p_size - IDIV(greatest(p_size * 10, 200) * 2 + 99, 100)) AS left_x, least(600, p_size + 100 + IDIV(greatest(p_size * 10, 200) * 2 + 99, 100)) AS right_x FROM part",
     # bias by count
     "subr_bias": "SELECT o_custkey AS font, count(*) AS subrs, CASE WHEN count(*) * 100 < 1240 THEN 107 WHEN count(*) * 100 < 33900 THEN 1131 ELSE 32768 END AS bias FROM orders GROUP BY o_custkey",
-    # Block geometry and indices
-    "mcu_blocks": "WITH s AS (SELECT s_suppkey AS id, CAST(s_suppkey % 5 + 1 AS INT) AS blocks_w, CAST(s_suppkey % 3 + 1 AS INT) AS blocks_h FROM supplier), m AS (SELECT id, blocks_w, EXPLODE_RANGE(0, blocks_w * blocks_h - 1) AS block FROM s) SELECT id, block, IDIV(block, blocks_w) AS y, block % blocks_w AS x FROM m",
     # Tile origins; the last tile overlaps
     "tile_origins": "WITH s AS (SELECT s_suppkey AS id, CAST(64 + s_suppkey % 50 AS INT) AS width FROM supplier), t AS (SELECT id, width, EXPLODE_RANGE(0, IDIV(width - 1, 16)) AS k FROM s) SELECT id, least(k * 16, width - 16) AS x FROM t",
-    # an orientation as index arithmetic
-    "rotated": f"WITH {LEVELS} SELECT vec_id, 7 - y AS x, x AS y, v FROM grid",
     # References of an object; the first ready tool
     "first_tool": "WITH t AS (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS rn FROM region JOIN nation ON r_regionkey = n_regionkey) SELECT r_name, n_name AS tool FROM t WHERE rn = 1",
-    # A page's streams in order
-    "page_streams": "WITH c AS (SELECT conv_id, turn, role FROM conversations) SELECT conv_id, JOINED(SORTED_LIST(CAST(1000 + turn AS VARCHAR(9)) || role), '|') AS content FROM c GROUP BY conv_id",
     # Progress counts only before a job's end; R4: a ticket is cancelled by a later generation
     "timely_progress": "WITH e AS (SELECT user_id, min(event_id) AS ended FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT v.user_id AS job, v.event_id FROM events v LEFT JOIN e ON v.user_id = e.user_id WHERE e.ended IS NULL OR v.event_id < e.ended",
     "cancelled_tickets": "WITH g AS (SELECT user_id, event_id, COUNTIF(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM events) SELECT user_id AS job, event_id AS ticket, later > 0 AS cancelled FROM g",
-    # The job's last state
-    "job_states": "WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) SELECT user_id AS job, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'waiting' ELSE 'working' END AS status FROM s WHERE rn = 1",
-    # V8: a mask is whole and finite
-    "valid_masks": f"WITH {LEVELS} SELECT vec_id, count(*) = 64 AND COUNTIF(v IS NULL) = 0 AS valid FROM grid GROUP BY vec_id",
 }

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.operators import files, graph, pictures, tabular
-from tidewright.plans import savings
+from tidewright.operators import files, graph, pictures, rules, tabular
+from tidewright.plans import rule_oracles, savings
 from tidewright.plans.dialect import oracle, spark_query
 from tidewright.streaming import progress
 
@@ -19,3 +19,5 @@ for module in (savings, graph, progress, files, pictures):
 for name, sql in tabular.QUERIES.items():
     QUERIES[name] = spark_query(sql)
     ORACLE_SQL[name] = oracle(sql)
+QUERIES.update(rules.QUERIES)
+ORACLE_SQL.update(rule_oracles.ORACLE_SQL)

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 
 def merge_identical(files: DataFrame, content: str = "text", key: str = "doc_id") -> DataFrame:
-    """A1: files with ``keeper``, the smallest key among files of equal content.
+    """A1: files with ``keeper``, the smallest key among files of equal content; files without a content are
+    their own keepers.
 
     Only a digest and the key are shuffled; contents stay where they are."""
     digest = F.sha2(F.col(content).cast("binary"), 256)
-    keepers = files.groupBy(digest.alias("_d")).agg(F.min(key).alias("keeper"))
-    return files.withColumn("_d", digest).join(keepers, "_d").drop("_d")
+    keepers = files.where(F.col(content).isNotNull()).groupBy(digest.alias("_d")).agg(F.min(key).alias("_k"))
+    return files.withColumn("_d", digest).join(keepers, "_d", "left").withColumn("keeper", F.coalesce("_k", key)).drop("_d", "_k")
 
 
 def savings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").withColumn("size", F.octet_length("text").cast("long"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source").withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     merged = merge_identical(files)
     keeps = F.col("doc_id") == F.col("keeper")
     out = merged.groupBy("source").agg(
@@ -34,8 +35,8 @@ def savings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAVINGS_SQL = """
-WITH f AS (SELECT doc_id, text, source, octet_length(encode(text)) AS size FROM documents),
-m AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS keeper FROM f),
+WITH f AS (SELECT doc_id, text, source, coalesce(octet_length(encode(text)), 0) AS size FROM documents),
+m AS (SELECT *, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS keeper FROM f),
 g AS (SELECT source, count(*) AS files, CAST(sum(size) AS BIGINT) AS original_size,
       CAST(sum(CASE WHEN doc_id = keeper THEN size ELSE 0 END) AS BIGINT) AS candidate_size,
       count(*) FILTER (WHERE doc_id <> keeper) AS duplicates FROM m GROUP BY source)

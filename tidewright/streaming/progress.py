@@ -49,8 +49,19 @@ def throttle_stream(events: DataFrame) -> DataFrame:
 
 def throttled_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return throttle(events.selectExpr("user_id AS job", "event_type AS stage", "event_id AS done", "CAST(10 AS BIGINT) AS total", "unix_millis(CAST(ts AS TIMESTAMP)) AS ts_ms"))
+    return throttle(events.selectExpr("user_id % 50 AS job", "CASE event_id div 500 % 3 WHEN 0 THEN 'images' WHEN 1 THEN 'streams' ELSE 'saving' END AS stage", "event_id % 11 AS done", "CAST(10 AS BIGINT) AS total", "event_id AS ts_ms"))
 
 
 QUERIES = {"throttled_progress": throttled_progress}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "throttled_progress": """
+WITH RECURSIVE e AS (SELECT user_id % 50 AS job, list_extract(['images', 'streams', 'saving'], event_id // 500 % 3 + 1) AS stage, event_id % 11 AS done, CAST(10 AS BIGINT) AS total, event_id AS ts_ms, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS k FROM events),
+s(job, k, stage, done, total, ts_ms, sent, last_stage, last_ms) AS (
+  SELECT job, k, stage, done, total, ts_ms, true, stage, ts_ms FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.job, e.k, e.stage, e.done, e.total, e.ts_ms, e.stage <> s.last_stage OR e.done = e.total OR e.ts_ms - s.last_ms >= 100,
+    CASE WHEN e.stage <> s.last_stage OR e.done = e.total OR e.ts_ms - s.last_ms >= 100 THEN e.stage ELSE s.last_stage END,
+    CASE WHEN e.stage <> s.last_stage OR e.done = e.total OR e.ts_ms - s.last_ms >= 100 THEN e.ts_ms ELSE s.last_ms END
+  FROM s JOIN e ON e.job = s.job AND e.k = s.k + 1)
+SELECT job, stage, done, total, ts_ms FROM s WHERE sent"""
+}

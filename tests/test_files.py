@@ -151,28 +151,28 @@ def test_operators_hold_errors_as_data(spark):
 
 @pytest.fixture
 def tree(tmp_path):
-    for name in ("b.pdf", "A.PDF", "notes.txt", "2024/c.pdf", "2024/deep/d.pdf", "Archive/e.pdf", "photo.jpg", ".hidden.pdf", ".git/x.pdf", "Tool.app/y.pdf"):
+    for name in ("melon.pdf", "Kiwi.PDF", "list.csv", "2019/fig.pdf", "2019/more/plum.pdf", "Lemons/lime.pdf", "shot.png", ".secret.pdf", ".cache/a.pdf", "Maker.app/b.pdf"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"%PDF-" + name.encode())
-    os.symlink(tmp_path / "2024", tmp_path / "linked")
-    os.symlink(tmp_path / "b.pdf", tmp_path / "z.pdf")
+    os.symlink(tmp_path / "2019", tmp_path / "again")
+    os.symlink(tmp_path / "melon.pdf", tmp_path / "zest.pdf")
     return tmp_path
 
 
 def test_scan_order_and_limits(tree, spark):
-    found = folder_scan.scan([str(tree), str(tree / "2024")], ["pdf"])
-    assert [f[2][len(str(tree)) + 1 :] for f in found.files] == ["2024/c.pdf", "2024/deep/d.pdf", "A.PDF", "Archive/e.pdf", "b.pdf", "z.pdf"]
+    found = folder_scan.scan([str(tree), str(tree / "2019")], ["pdf"])
+    assert [f[2][len(str(tree)) + 1 :] for f in found.files] == ["2019/fig.pdf", "2019/more/plum.pdf", "Kiwi.PDF", "Lemons/lime.pdf", "melon.pdf", "zest.pdf"]
     assert found.summary == (2, 6, 3, False, [])
-    assert [f[3] for f in folder_scan.scan([str(tree)], ["pdf"], max_files=2).files] == ["c.pdf", "d.pdf"]
+    assert [f[3] for f in folder_scan.scan([str(tree)], ["pdf"], max_files=2).files] == ["fig.pdf", "plum.pdf"]
     assert folder_scan.scan([str(tree)], ["pdf"], max_files=2).summary[3] and folder_scan.scan([str(tree)], ["pdf"], max_depth=1).summary[3]
     assert folder_scan.scan([str(tree / "none")], ["pdf"]).summary == (1, 0, 0, False, [str(tree / "none")])
     spark.dataSource.register(folder_scan.FolderScan)
     listed = spark.read.format("folder_scan").option("extensions", "pdf").load(str(tree))
-    assert [r.name for r in listed.orderBy("ord").collect()] == ["c.pdf", "d.pdf", "A.PDF", "e.pdf", "b.pdf", "z.pdf"]
+    assert [r.name for r in listed.orderBy("ord").collect()] == ["fig.pdf", "plum.pdf", "Kiwi.PDF", "lime.pdf", "melon.pdf", "zest.pdf"]
     first = folder_scan.registered(listed.where("ord < 2"), "pdf")
-    assert sorted((r.id, r.name) for r in folder_scan.registered(listed, "pdf", first).collect())[0] == (3, "A.PDF")
-    read = {os.path.basename(r.path): (r.content, r.error_code) for r in folder_scan.contents(spark, listed, 10).collect()}
-    assert read["b.pdf"] == (bytearray(b"%PDF-b.pdf"), None) and read["c.pdf"] == (None, "tooLarge")
+    assert sorted((r.id, r.name) for r in folder_scan.registered(listed, "pdf", first).collect())[0] == (3, "Kiwi.PDF")
+    read = {os.path.basename(r.path): (r.content, r.error_code) for r in folder_scan.contents(spark, listed, 14).collect()}
+    assert read["melon.pdf"] == (bytearray(b"%PDF-melon.pdf"), None) and read["fig.pdf"] == (None, "tooLarge")
 
 
 def test_sink_never_overwrites_and_repeats_nothing(tmp_path, spark):

@@ -1,19 +1,22 @@
 """Conversion and background removal of pictures, and placements of pictures in PDFs.
 
-Rows (id, content) in; errors are columns, as in ``operators.files``.  Pixels are read from PNG; other
-formats are ``conversionUnsupported`` (no decoder for them is at hand).
+Rows (id, content) in; errors are columns, as in ``operators.files``.  Pixels are read from PNG and from
+sequential JPEG; other formats are ``conversionUnsupported`` (no decoder for them is at hand).
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.kernels import containers, pdf_file, pixels, placement
+from tidewright.kernels import containers, jpeg_code, pdf_file, pixels, placement
 from tidewright.kernels.containers import Refused
 from tidewright.operators.files import ERRORS, _applied
 
@@ -22,20 +25,66 @@ CUT = "id long, width int, height int, original_size long, output_size long, " +
 PLACED = "doc long, image_id long, width_pt double, height_pt double"
 
 
+#: Colour space of a profile, and where a profile says so (fixed values).
+ICC_RGB, ICC_PLACE = b"RGB ", slice(16, 20)
+
+
+def _profile(box: containers.Container) -> bytes | None:
+    """The colour profile of a picture; only those of RGB can be kept."""
+    if box.format == "jpeg":
+        parts = [box.payload(p) for p in box.parts if p.name == "E2" and box.payload(p).startswith(b"ICC_PROFILE\0")]
+        found = b"".join(p[14:] for p in sorted(parts, key=lambda p: p[12])) or None
+    else:
+        raw = box.first("iCCP")
+        found = None if raw is None else zlib.decompressobj().decompress(raw[raw.index(b"\0") + 2 :], 4 << 20)
+    if found is not None and found[ICC_PLACE] != ICC_RGB:
+        raise Refused("conversionUnsupported", "a profile that is not of RGB")
+    return found
+
+
+#: Gamma and primaries that an sRGB picture may declare (fixed values).
+SRGB_GAMMA, SRGB_PRIMARIES = struct.pack(">I", 45455), struct.pack(">8I", 31270, 32900, 64000, 33000, 30000, 60000, 15000, 6000)
+
+
 def _picture(data: bytes):
     box = containers.parse(data)
+    if box.format == "jpeg":
+        if containers.kept_reason(box) is not None:
+            raise Refused("conversionUnsupported", "extra data, a signature or a coding of its own")
+        samples = jpeg_code.pixels(box)
+        exif = next((box.payload(p)[6:] for p in box.parts if p.name == "E1" and box.payload(p).startswith(containers.EXIF_PREFIX)), b"")
+        whole = np.full((*samples.shape[:2], 4), 255, np.uint8)
+        whole[..., :3] = samples
+        return pixels.oriented(whole, (containers.orientation(exif) or (1, ""))[0])
+    odd = [n for n, plain in (("gAMA", SRGB_GAMMA), ("cHRM", SRGB_PRIMARIES)) if "sRGB" not in box.names() and "iCCP" not in box.names() and box.first(n) not in (None, plain)]
+    if odd:
+        raise Refused("conversionUnsupported", f"{odd[0]} of its own")
     if box.format != "png" or containers.kept_reason(box) == "animated" or box.names() & {"cICP", "mDCV", "mDCv", "cLLI", "cLLi"} or data[24] == 16:
         raise Refused("conversionUnsupported", box.format)  # P15: 16 bits and wide gamuts would lose something
     return pixels.rgba(box)
 
 
-def _converted(data: bytes, background: tuple[int, int, int] | None) -> dict:
+def _jpeg_of(picture: np.ndarray, profile: bytes | None, quality: int) -> bytes:
+    """A file without subsampling, its profile in segments; read again, size and profile must agree."""
+    cut = [profile[k : k + 65000] for k in range(0, len(profile), 65000)] if profile else []
+    segments = [(0xE2, b"ICC_PROFILE\0" + bytes([k + 1, len(cut)]) + part) for k, part in enumerate(cut)]
+    out = jpeg_code.written(np.ascontiguousarray(picture[..., :3]), quality, (1, 1), segments)
+    again = containers.parse(out)
+    if containers.size(again) != (picture.shape[1], len(picture)) or _profile(again) != profile:
+        raise Refused("internal", "size or profile changed")
+    return out
+
+
+def _converted(data: bytes, background: tuple[int, int, int] | None, form: str = "png", quality: int = 90) -> dict:
     if containers.image_format(data[:16]) is None:
         raise Refused("conversionUnsupported", containers.description(data[:16]))
-    picture = _picture(data)
+    picture, profile = _picture(data), _profile(containers.parse(data))
+    if form == "jpeg":
+        background = background or (255, 255, 255)
     flattened = background is not None and bool((picture[..., 3] != 255).any())  # A9
-    out = pixels.png_of(pixels.composited(picture, background) if flattened else picture)
-    return {"format": "png", "width": picture.shape[1], "height": len(picture), "original_size": len(data), "output_size": len(out), "flattened": flattened, "content": out}
+    picture = pixels.composited(picture, background) if flattened else picture
+    out = _jpeg_of(picture, profile, quality) if form == "jpeg" else pixels.png_of(picture, profile=profile)
+    return {"format": form, "width": picture.shape[1], "height": len(picture), "original_size": len(data), "output_size": len(out), "flattened": flattened, "content": out}
 
 
 class _CutOut:
@@ -54,9 +103,12 @@ class _CutOut:
         return {"width": cut.shape[1], "height": len(cut), "original_size": len(data), "output_size": len(out), "content": out}
 
 
-def convert_images(files: DataFrame, background: tuple[int, int, int] | None = None) -> DataFrame:
-    """PNG of each picture, oriented; over ``background`` where one is given and something is clear."""
-    return _applied(files, partial(_converted, background=background), CONVERTED, pixels.MAX_BYTES)
+def convert_images(files: DataFrame, background: tuple[int, int, int] | None = None, form: str = "png", quality: int = 90) -> DataFrame:
+    """PNG or JPEG of each picture, oriented, with its RGB profile; over ``background`` (for JPEG white, if none is
+    given) where something is clear."""
+    if form not in ("png", "jpeg") or not 30 <= quality <= 100:
+        raise ValueError("invalidOptions: form or quality")
+    return _applied(files, partial(_converted, background=background, form=form, quality=quality), CONVERTED, pixels.MAX_BYTES)
 
 
 def cut_out_images(files: DataFrame, make: Callable[[], pixels.Segmenter], point: tuple[float, float] | None = None, crop: bool = False, background: tuple[int, int, int] | None = None) -> DataFrame:

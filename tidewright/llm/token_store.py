@@ -43,7 +43,7 @@ from tidewright.llm.words import runs, spelled
 MAGIC = b"TWID\x02"
 BLOCK = 2048
 SHARD_IDS = 8 << 20
-GROUPS = 32
+GROUPS = 16
 RENEWED = 32  # ids between two renewals of the groups' frequencies
 SLOTS1, SLOTS2 = 9, 10  # bits of the tables of order 1 and 2, in each block
 MAX_ID = (1 << 28) - 1
@@ -118,8 +118,15 @@ class _Lanes:
             below = np.cumsum(self.seen, 1)
             self.cdf = (below * ((1 << GROUP) - GROUPS) // below[:, -1:] + np.arange(GROUPS + 1)).reshape(-1)
         self.step += 1
-        self.s1 = (self.a * 0x9E3779B1 >> 7 & (1 << SLOTS1) - 1) + self.at1
-        self.s2 = (self.a * 0x85EBCA77 + self.b >> 9 & (1 << SLOTS2) - 1) + self.at2
+        s1, s2 = self.a * 0x9E3779B1, self.a * 0x85EBCA77
+        s1 >>= 7
+        s1 &= (1 << SLOTS1) - 1
+        s1 += self.at1
+        s2 += self.b
+        s2 >>= 9
+        s2 &= (1 << SLOTS2) - 1
+        s2 += self.at2
+        self.s1, self.s2 = s1, s2
         self.e1, self.e2 = self.t1.take(self.s1), self.t2.take(self.s2)
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
@@ -131,21 +138,35 @@ class _Lanes:
         """Mass below and mass of ranks given by group, start and width, of 1 << ORDER0."""
         at = self.at_group + group
         begin = self.cdf.take(at)
-        many = self.cdf.take(at + 1) - begin
-        return (begin << SHARE) + many * low, many * width
+        at += 1
+        many = self.cdf.take(at)
+        many -= begin
+        begin <<= SHARE
+        begin += many * low
+        many *= width
+        return begin, many
 
     def code(self, x, below, own) -> None:
         """Narrow the coder to ``x``, whose order-0 masses are given, and learn it."""
         hit1, hit2 = self.p1 == x, self.p2 == x
         by1, by2 = self.m1 * hit1, self.m2 * hit2
-        mass = self.m0 * own + (by1 + by2 << ORDER0)
-        start = self.m0 * below + (self.m1 * (self.p1 < x) + self.m2 * (self.p2 < x) << ORDER0)
+        mass = by1 + by2
+        mass <<= ORDER0
+        mass += self.m0 * own
+        start = self.m1 * (self.p1 < x)
+        start += self.m2 * (self.p2 < x)
+        start <<= ORDER0
+        start += self.m0 * below
         self.range >>= TOTAL
         self.low += self.range * start.view(np.uint64)
         self.range *= mass.view(np.uint64)
         part = float(((1 << WEIGHT) - KEPT) << ORDER0) / mass
-        self.w1[self.row] = self.m1 + ((by1 * part).astype(np.int64) - self.m1 >> RATE)
-        self.w2[self.row] = self.m2 + ((by2 * part).astype(np.int64) - self.m2 >> RATE)
+        for table, by, old in ((self.w1, by1, self.m1), (self.w2, by2, self.m2)):
+            move = (by * part).astype(np.int64)
+            move -= old
+            move >>= RATE
+            move += old
+            table[self.row] = move
         new = x << 2 | 1
         self.t1[self.s1] = np.where(hit1, self.e1 + (self.c1 < 3), new)
         self.t2[self.s2] = np.where(hit2, self.e2 + (self.c2 < 3), new)
@@ -156,21 +177,25 @@ class _Lanes:
         self.seen_flat[at] += 4
 
     def shift(self):
-        """Lanes whose first 16 bits are settled, until there is none; the caller moves them."""
+        """Lanes whose first 16 bits are settled, until there is none; the caller moves them.  Only lanes that
+        have just moved can be settled again."""
         low, rng = self.low, self.range
+        l, r, at = low, rng, None
         while True:
-            settled = (low ^ (low + rng)) < TOP
-            short = rng < BOTTOM
+            settled = (l ^ (l + r)) < TOP
+            short = r < BOTTOM
             if short.any():
                 short &= ~settled
-                rng[short] = (np.uint64(0) - low[short]) & (BOTTOM - np.uint64(1))
+                r[short] = (np.uint64(0) - l[short]) & (BOTTOM - np.uint64(1))
                 settled |= short
-            at = np.flatnonzero(settled)
-            if not len(at):
+            if at is not None:
+                low[at], rng[at] = l, r
+            moved = np.flatnonzero(settled)
+            if not len(moved):
                 return
+            at = moved if at is None else at[moved]
             yield at
-            low[at] <<= np.uint64(16)
-            rng[at] <<= np.uint64(16)
+            l, r = low[at] << np.uint64(16), rng[at] << np.uint64(16)
 
 
 def _steps(lengths: np.ndarray) -> int:
@@ -436,11 +461,14 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     coded = words.dictionary_encode()
     units, first, second = units_of(coded.dictionary, path)
     ids, starts, sizes = _Known.of(units, path)
-    # Unit -1 is none: it has no id.
+    # The ids of each distinct word, then of each word of the texts.  Unit -1 is none: it has no id.
     starts, sizes = np.append(starts, 0), np.append(sizes, 0)
-    both = np.stack([first, second], 1)[coded.indices.to_numpy(zero_copy_only=False)].reshape(-1)
+    both = np.stack([first, second], 1).reshape(-1)
     at, n = _gathered(starts[both], sizes[both])
-    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], 2 * np.cumsum(per_text)])]
+    ids, many = ids[at], n.reshape(-1, 2).sum(1)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    at, n = _gathered((np.cumsum(many) - many)[codes], many[codes])
+    cuts = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_text)])]
     return ids[at], np.diff(cuts)
 
 
@@ -476,7 +504,10 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     """Positions starts[k], starts[k] + 1, ... of all k one after the other, and the sizes."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total), sizes
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out, sizes
 
 
 # ---- tables ---------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ import pytest
 from tidewright.kernels import containers as C
 from tidewright.kernels import pdf_file as P
 from tidewright.kernels import png_rows as R
+from tidewright.kernels.control import Recorded
 from tidewright.operators.files import compress_images, compress_pdfs, image_parts, image_result, pdf_objects, pdf_result, two_pages
 from tidewright.sources import folder_scan, result_store
 
@@ -197,3 +198,35 @@ def test_store_keeps_the_last_result(spark):
     saved = spark.createDataFrame([(1, "/new")], "id long, saved_path string")
     assert sorted(r.saved_path for r in result_store.marked(last, saved).collect()) == ["/new", "/old"]
     assert result_store.unsaved_count(last).first().unsaved == 1 and result_store.without(last, saved).count() == 1
+
+
+def test_stages_come_in_order_and_stop():
+    data = two_pages(b"text " * 50)
+    seen = Recorded()
+    P.compressed(data, control=seen)
+    assert [p.stage for p in seen.seen] == ["loading", "structure", "streams", "streams", "saving", "verifying"]
+    assert [(p.done, p.total) for p in seen.seen if p.stage == "streams"] == [(0, 1), (1, 1)]
+    for n in range(len(seen.seen)):
+        with pytest.raises(C.Refused, match="cancelled"):
+            P.compressed(data, control=Recorded(lambda so_far, n=n: len(so_far) >= n))
+
+
+def test_predictor_of_differences():
+    rows = np.random.default_rng(2).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    coded = np.diff(rows, axis=1, prepend=0).astype(np.uint8)
+    parms = {b"Predictor": 2, b"Colors": 3, b"Columns": 7}
+    assert P.inflated(P.Stream({b"Filter": P.Name(b"FlateDecode"), b"DecodeParms": parms}, zlib.compress(coded.tobytes()))) == rows.tobytes()
+
+
+def test_picked_paths(tree):
+    got = folder_scan.picked([str(tree / "2019"), str(tree / "shot.png"), str(tree / "Maker.app"), str(tree / "gone.pdf"), str(tree / "2019" / "fig.pdf")], ["pdf"], "compression")
+    assert [r[:2] for r in got] == [("added", "shot.png"), ("skipped", "Maker.app"), ("skipped", "gone.pdf"), ("added", "fig.pdf"), ("added", "plum.pdf")]
+
+
+def test_files_arrive_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.PDF", "b.txt", ".c.pdf", "long.pdf"):
+        (tmp_path / "in" / name).write_bytes(b"%PDF" * (9 if name == "long.pdf" else 1))
+    running = folder_scan.arriving(spark, str(tmp_path / "in"), ["pdf"], 10, "pdf").writeStream.format("memory").queryName("came").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    running.awaitTermination(120)
+    assert sorted((r["name"], r["size"], r["scope"], r["content"]) for r in spark.table("came").collect()) == [("a.PDF", 4, "pdf", bytearray(b"%PDF")), ("long.pdf", 36, "pdf", None)]

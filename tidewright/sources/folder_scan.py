@@ -152,3 +152,32 @@ def contents(spark: SparkSession, files: DataFrame, limit: int) -> DataFrame:
 def _quoted(path: str) -> str:
     """Glob signs of a name stand for themselves."""
     return "".join(f"\\{c}" if c in "\\{}[]*?" else c for c in os.path.abspath(path))
+
+
+def picked(paths: Iterable[str], extensions: Iterable[str], scope: str) -> list[tuple[str, str, str, int | None]]:
+    """(outcome, name, path, size) of chosen or dropped paths: files are taken as they are, folders
+    are searched for ``extensions``; what cannot be read, dropped packages and unreadable folders are ``skipped``."""
+    out, folders = [], []
+    for path in paths:
+        if os.path.isdir(path) and extension(path) not in PACKAGES:
+            folders.append(path)
+        elif os.path.isfile(path) and os.access(path, os.R_OK):
+            out.append(("added", os.path.basename(path), path, os.path.getsize(path)))
+        else:
+            out.append(("skipped", os.path.basename(path.rstrip("/")), path, None))
+    if folders:
+        found = scan(folders, extensions)
+        out += [("added", f[3], f[2], f[5]) for f in found.files] + [("skipped", os.path.basename(p), p, None) for p in found.summary[4]]
+    seen: set[str] = set()
+    return [r for r in out if not (r[2] in seen or seen.add(r[2]))]
+
+
+def arriving(spark: SparkSession, folder: str, extensions: Iterable[str], limit: int, active: str | None = None) -> DataFrame:
+    """Files that come into a folder, as a stream of (path, name, size, scope, content); files of other
+    kinds and hidden ones are passed over, those over ``limit`` bytes come without content.  ``active``: the tool
+    that takes them, which becomes their scope."""
+    wanted = "|".join(sorted(e.lower() for e in extensions))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    kept = files.where(F.lower(name).rlike(rf"[.]({wanted})$") & ~name.startswith("."))
+    return kept.select("path", name.alias("name"), F.col("length").alias("size"), F.lit(active).alias("scope"), F.when(F.col("length") <= limit, F.col("content")).alias("content"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import ODD, SCHEMA, lower
-from tidewright.llm import iso_media, language_id, mixing, near_dedup, url_filter
+from tidewright.llm import iso_media, language_id, mixing, near_dedup, piece_codec, url_filter
 from tidewright.llm.storage import held_out, read_table
 
 SF = "/root/testdata/sf0.01"
@@ -115,6 +115,41 @@ def test_mixing_is_a_loop(spark):
             assert max(r.copies for r in own) - min(r.copies for r in own) <= 1
 
 
+def splitmix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_agenda(c, unit, variant, dropout, seed):
+    """The lowest rank first, ties from the left, over and over; a skipped candidate is no candidate."""
+    spans = []
+    for i, ch in enumerate(unit):
+        piece = int(c.char[piece_codec.SPACE if ch == " " else ord(ch)]) if ch != chr(piece_codec.SPACE) else -1
+        spans.append((piece if piece >= 0 else c.size + ord(ch), i, i + 1))
+    while True:
+        found = []
+        for k, ((a, start, mid), (b, _, end)) in enumerate(zip(spans, spans[1:])):
+            rank = int(c._rank(np.array([a]), np.array([b]), np.array([0]), np.array([0]), np.array([0]), np.array([0]), 0, 0)[0])
+            h = splitmix(splitmix((a << 32 | b) + seed) ^ splitmix(((start << 42 ^ mid << 21 ^ end) + (variant << 56) + 0x632BE59BD9B4E019) % 2**64))
+            if rank != piece_codec.NONE and (h >> 11) >= dropout * 2**53:
+                found.append((rank, k))
+        if not found:
+            return [s[0] for s in spans]
+        rank, k = min(found)
+        spans[k : k + 2] = [(int(c.piece_of_rank[rank]), spans[k][1], spans[k + 1][2])]
+
+
+def test_dropout_is_a_plain_agenda():
+    c, rng = piece_codec.codec(piece_codec.default_model()), random.Random(6)
+    units = [" " + "".join(rng.choices("theinganderouos", k=rng.randrange(0, 30))) for _ in range(60)] + ["  the▁x", " naïve😀", " " + "internationalization" * 6]
+    variants = np.arange(len(units)) % 8
+    for dropout in (0.0, 0.1, 0.5):
+        symbols, starts = c.segment(units, variants, dropout, 4)
+        for k, unit in enumerate(units):
+            assert symbols[starts[k] : starts[k + 1]].tolist() == plain_agenda(c, unit, int(variants[k]), dropout, 4)
+
+
 def media(*tracks, moofs=(), tail=b""):
     b, f = iso_media.box, iso_media.full
     return b(b"ftyp", b"isom\0\0\0\0") + b(b"moov", *tracks, b(b"udta", tail)) + b"".join(moofs)

@@ -71,7 +71,8 @@ def _features(batches):
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 8, rate: float = 0.5, reject_share: float = REJECT_SHARE) -> dict:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang); null lang, null text and
-    null doc_id are not learned from.  Without labelled rows the model knows no language."""
+    null doc_id are not learned from.  Without labelled rows the model knows no language; more than
+    MAX_LANGUAGES languages are refused.  Repeated rows count as often as they occur."""
     need(docs, "doc_id", "text", "lang")
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
@@ -154,7 +155,8 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     Null text or text without a letter: ``und``, score 0, rejected.  So is all text if the model
     knows no language.  Rejected otherwise: the probability is under the calibrated threshold.
-    Columns of these names in the input are replaced."""
+    Columns of these names in the input are replaced.  Rows are judged one by one: repeated rows stay repeated, an
+    empty table gives an empty result."""
     need(docs, "text")
     rest = docs.drop("lang_pred", "score", "rejected", "_has")
     marked = rest.withColumn("_has", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -147,3 +147,59 @@ SELECT vec_id, sha256(string_agg(printf('%02X', CAST(p AS INT)), '' ORDER BY pix
 WITH {LEVELS}, m AS (SELECT * FROM (VALUES (1, 1, 0, 0, 0, 1, 0), (2, -1, 0, 7, 0, 1, 0), (3, -1, 0, 7, 0, -1, 3), (4, 1, 0, 0, 0, -1, 3), (5, 0, 1, 0, 1, 0, 0), (6, 0, -1, 3, 1, 0, 0), (7, 0, -1, 3, -1, 0, 7), (8, 0, 1, 0, -1, 0, 7)) t(o, a, b, c, d, e, f))
 SELECT vec_id, o AS orientation, a * (i % 8) + b * (i // 8) + c AS x, d * (i % 8) + e * (i // 8) + f AS y, v FROM lv JOIN m ON m.o = vec_id % 8 + 1 WHERE i < 32""",
 }
+
+#: Apart from the queries of ``operators/tabular.py`` as well: tables of outcomes, joins and comparisons in
+#: place of their CASE chains and windows.
+ORACLE_SQL |= {
+    "file_kind": """
+SELECT doc_id AS id, list_extract(['pdf', 'PNG', 'jpeg', 'mp4', 'mp3', 'txt', 'webp', 'Pdf', 'JPG', 'mov'], doc_id % 10 + 1) AS ext,
+  CASE WHEN contains(left(text, 1024), 'PDF-') THEN 'pdf' ELSE list_extract(['other', 'image', 'image', 'video', 'audio', 'other', 'image', 'other', 'image', 'video'], doc_id % 10 + 1) END AS kind FROM documents""",
+    "kind_counts": """
+WITH k AS (SELECT CASE WHEN contains(left(text, 1024), 'PDF-') THEN 'pdf' WHEN doc_id % 10 IN (1, 2, 6, 8) THEN 'image' WHEN doc_id % 10 IN (3, 9) THEN 'video' WHEN doc_id % 10 = 4 THEN 'audio' ELSE 'other' END AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents)
+SELECT kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size, max(size) AS largest FROM k GROUP BY kind""",
+    "raster_format": """
+SELECT doc_id AS id, list_extract(['jpeg', 'png', 'webp', NULL, NULL, NULL, NULL], doc_id % 7 + 1) AS format, list_extract(['unknown', 'unknown', 'unknown', 'HEIF or AVIF', 'GIF', 'TIFF', 'BMP'], doc_id % 7 + 1) AS description FROM documents""",
+    "kept_reason": """
+WITH f AS (SELECT *, list_extract(['jpeg', 'png', 'webp'], l_partkey % 3 + 1) AS format FROM lineitem)
+SELECT l_orderkey, l_linenumber, format, coalesce(if(l_quantity > 40, 'extraData', NULL), if(format IN ('png', 'webp') AND l_tax > 0.06, 'animated', NULL), if(l_discount > 0.07, 'signed', NULL), if(format IN ('jpeg', 'webp') AND l_suppkey % 5 = 0, 'unsupportedEncoding', NULL)) AS kept FROM f""",
+    "accepted_files": """
+WITH k AS (SELECT doc_id AS id, doc_id % 10 AS d, contains(left(text, 1024), 'PDF-') AS pdf FROM documents)
+SELECT id, CASE WHEN pdf THEN 'pdf' WHEN d IN (1, 2, 6, 8) THEN 'image' WHEN d IN (3, 9) THEN 'video' WHEN d = 4 THEN 'audio' ELSE 'other' END AS kind, CASE WHEN pdf THEN d IN (0, 1, 2, 7, 8) ELSE d IN (1, 2, 8) END AS accepted FROM k""",
+    "lookup_errors": """
+SELECT o_orderkey AS job, o_custkey AS id, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN NULL WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 'wrongTool' ELSE 'unknownFile' END AS error_code FROM orders""",
+    "latest_result": """
+WITH t AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id), e AS (SELECT user_id, max(event_id) AS event_id FROM events JOIN t USING (user_id, ts) GROUP BY user_id)
+SELECT user_id AS id, event_id AS result, event_type AS extension FROM e JOIN events USING (user_id, event_id)""",
+    "unsaved_results": """
+WITH s AS (SELECT count(DISTINCT user_id) AS saved FROM events WHERE event_type = 'purchase'), a AS (SELECT count(DISTINCT user_id) AS results FROM events) SELECT results - saved AS unsaved, saved, results FROM s, a""",
+    "pruned_objects": "SELECT (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey) AS kept, count(*) - (SELECT count(DISTINCT o_custkey) FROM orders JOIN customer ON o_custkey = c_custkey) AS removed FROM customer",
+    "resource_priority": """
+WITH p AS (SELECT o_custkey, min(o_orderpriority) AS o_orderpriority FROM orders GROUP BY o_custkey) SELECT o_custkey AS owner, min(o_orderkey) AS resource FROM orders JOIN p USING (o_custkey, o_orderpriority) GROUP BY o_custkey""",
+    "preset_matrix": """
+SELECT s_suppkey AS id, p.preset, p.quality, p.dpi FROM supplier, (SELECT 'lossless' AS preset, NULL AS quality, NULL AS dpi UNION ALL SELECT 'balanced', 85, 200 UNION ALL SELECT 'maximum', 70, 150 UNION ALL SELECT 'screen', 65, 100) p""",
+    "dc_differences": """
+WITH c AS (SELECT *, (l_linenumber - 1) // 3 AS segment, row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) // 3 ORDER BY l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)) AS k FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, CASE a.segment WHEN 0 THEN NULL ELSE (a.segment + 7) % 8 END AS restart, CAST(a.l_quantity AS BIGINT) - CASE WHEN a.k = 1 THEN 0 ELSE CAST(b.l_quantity AS BIGINT) END AS diff
+FROM c a LEFT JOIN c b ON b.l_orderkey = a.l_orderkey AND b.segment = a.segment AND b.k = a.k - 1""",
+    "dc_values": """
+WITH c AS (SELECT *, (l_linenumber - 1) // 3 AS segment, row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) // 3 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, CAST(sum(CAST(b.l_quantity AS BIGINT)) AS BIGINT) AS value FROM c a JOIN c b ON b.l_orderkey = a.l_orderkey AND b.segment = a.segment AND b.k <= a.k GROUP BY a.l_orderkey, a.l_linenumber, a.segment, a.k""",
+    "integral_image": f"""
+WITH {LEVELS}, g AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM lv)
+SELECT a.vec_id, a.y, a.x, CAST(sum(b.v) AS BIGINT) AS total FROM g a JOIN g b ON b.vec_id = a.vec_id AND b.y <= a.y AND b.x <= a.x GROUP BY a.vec_id, a.y, a.x""",
+    "visible_box": f"""
+WITH {LEVELS}, s AS (SELECT vec_id, min(i % 8) AS left_x, max(i % 8) AS right_x, min(i // 8) AS top_y, max(i // 8) AS bottom_y, count(*) AS n FROM lv WHERE v > 0 GROUP BY vec_id)
+SELECT e.vec_id, left_x, right_x, top_y, bottom_y, coalesce(n, 0) < 64 AS any_clear FROM embeddings e LEFT JOIN s USING (vec_id)""",
+    "composited": f"""
+WITH {LEVELS}, c AS (SELECT vec_id, i, abs(v) % 256 AS p, abs(v) * 7 % 256 AS a FROM lv)
+SELECT vec_id, i, CAST(floor((p * a + 255 * (255 - a) + 127) / 255.0) AS BIGINT) AS over_white, (77 * p + 150 * a + 29 * p) >> 8 AS luma FROM c""",
+    "subr_bias": "SELECT o_custkey AS font, count(*) AS subrs, CASE WHEN count(*) < 12.4 THEN 107 WHEN count(*) < 339 THEN 1131 ELSE 32768 END AS bias FROM orders GROUP BY o_custkey",
+    "timely_progress": "SELECT user_id AS job, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.event_id <= e.event_id)",
+    "cancelled_tickets": "SELECT user_id AS job, event_id AS ticket, coalesce(event_id < last, false) AS cancelled FROM events LEFT JOIN (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'error' GROUP BY user_id) l USING (user_id)",
+    "first_tool": "SELECT r_name, n_name AS tool FROM region JOIN (SELECT n_regionkey, min(n_nationkey) AS n_nationkey FROM nation GROUP BY n_regionkey) f ON r_regionkey = f.n_regionkey JOIN nation USING (n_nationkey)",
+    "first_names": """
+WITH n AS (SELECT n_regionkey, list_sort(list(n_name)) AS names FROM nation GROUP BY n_regionkey)
+SELECT n_regionkey, array_to_string(names[1:3], ', ') || if(len(names) > 3, ' +' || (len(names) - 3), '') AS shown FROM n""",
+    "median_latency": "SELECT o_orderpriority, quantile_cont(o_totalprice, 0.5) AS middle, max(o_totalprice) AS worst FROM orders GROUP BY o_orderpriority",
+    "symbol_histogram": "SELECT l_returnflag AS class, l_linestatus AS tbl, CAST(l_quantity AS INT) AS symbol, count(*) AS n FROM lineitem GROUP BY ALL",
+}

@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tidewright.llm.memory import returning
+from tidewright.llm.memory import release, returning
 from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
 
 WINDOW = 13
 SPANS_A_TASK = 20_000
 #: Bytes of text whose windows meet in one bucket, and rows and bytes of a batch of documents.
-BUCKET_BYTES = 24 << 20
-MIN_BUCKETS = 32
-BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2500", "spark__sql__execution__arrow__maxBytesPerBatch": str(16 << 20)}
+BUCKET_BYTES = 12 << 20
+MIN_BUCKETS = 64
+BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2500", "spark__sql__execution__arrow__maxBytesPerBatch": str(8 << 20)}
 STEP = 0xD6E8FEB86659FD93
 
 
@@ -162,26 +162,31 @@ def _owners(key, table):
         run = np.cumsum(delta)
         hashes.append(_unplanes(row["a"], 8))
         ids.append(np.repeat(docs[0], n))
-        checks.append(np.repeat(docs[1], n))
-        places.append(run - np.repeat(run[first] - delta[first], n))
+        checks.append(np.repeat(docs[1].astype(np.uint16), n))
+        places.append((run - np.repeat(run[first] - delta[first], n)).astype(np.int32))
     if hashes:
         h, d, c, p = map(np.concatenate, (hashes, ids, checks, places))
+        del hashes, ids, checks, places
         order = np.lexsort((d, h))
-        h, d, c, p = h[order], d[order], c[order], p[order]
+        h = h[order]
+        d, c, p = d[order], c[order].astype(np.int64), p[order].astype(np.int64)
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
+        del h, order
         group = np.cumsum(new) - 1
         least = d[np.flatnonzero(new)][group]
         many = np.zeros(int(group[-1]) + 1, bool)
         many[group[d != least]] = True
         some = many[group]
         d, c, p, least = d[some], c[some], p[some], least[some]
+        del group, new, many, some
         pairs, text = np.unique(np.stack([d, c], 1), axis=0, return_inverse=True)
         for t, cover, owners, ref in _mark_rows(least, p, text.reshape(-1), d == least):
             for k, v in enumerate((int(pairs[t][0]), int(pairs[t][1]), cover, owners, ref)):
                 out[k].append(v)
     made = pa.table([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in MARKS.split(", ")])
     passed = table.filter(pa.array(kind == 1)).select(["doc_id", "check", "a", "b", "c"]).rename_columns(["doc_id", "check", "cover", "owners", "refs"])
+    release()
     return pa.concat_tables([made, passed.cast(made.schema)])
 
 

@@ -107,7 +107,7 @@ def pdf_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("thumbnails") > 0, thumbs),
         F.when(F.col("editing") > 0, "editing data removed"),
     )
-    kept = F.when(F.col("kept"), F.when(F.col("asked"), "Already optimal: original kept, nothing removed").otherwise("Already optimal: original kept"))
+    kept = F.when(F.col("kept"), F.when(F.col("asked"), "Already optimal: original kept, nothing removed").otherwise("Already optimal"))
     return rows.select("id", kept.alias("kept"), F.when(F.col("kept"), "").otherwise(details).alias("details"))
 
 

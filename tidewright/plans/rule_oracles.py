@@ -30,7 +30,7 @@ SELECT p_partkey AS id,
     || CASE WHEN p_size % 2 = 0 THEN '+zopfli' ELSE '' END || CASE WHEN p_retailprice > 1000 THEN '+metadata' ELSE '' END AS image_key
 FROM part""",
     "pdf_details": """
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Already optimal: original kept, nothing removed' ELSE 'Already optimal: original kept' END AS kept,
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'Already optimal: original kept, nothing removed' ELSE 'Already optimal' END AS kept,
   CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE (o_orderkey % 4 + 1) || CASE o_orderkey % 4 WHEN 0 THEN ' page' ELSE ' pages' END || ' · ' || (o_custkey % 3) || CASE o_custkey % 3 WHEN 1 THEN ' image' ELSE ' images' END || ' re-encoded, ' || (o_orderkey % 3) || ' downsampled · '
     || (o_custkey % 2) || CASE o_custkey % 2 WHEN 1 THEN ' duplicate stream merged' ELSE ' duplicate streams merged' END
     || CASE WHEN o_custkey % 5 = 0 THEN ' · metadata removed' ELSE '' END || CASE WHEN o_custkey % 7 = 0 THEN ' · document metadata kept for PDF/A, PDF/UA or PDF/X' ELSE '' END

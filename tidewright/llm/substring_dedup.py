@@ -30,6 +30,7 @@ from xxhash import xxh3_64_intdigest
 
 from tidewright.llm.memory import release, returning
 from tidewright.llm.storage import dropped, free_shuffles, need, read_table, settings, written
+from tidewright.llm.words import runs
 
 WINDOW = 13
 SPANS_A_TASK = 20_000
@@ -56,16 +57,16 @@ def hash_words(words: pa.Array) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
 
 
-def window_hashes(words: list[list[bytes]], window: int, hashed=hash_words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(texts: pa.Array, window: int, hashed=hash_words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, first word) of every window of every text."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    coded = pa.array([w for ws in words for w in ws], pa.large_binary()).dictionary_encode()
+    words, sizes = runs(texts)
+    coded = words.dictionary_encode()
     h = hashed(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if sizes.sum() else np.zeros(0, np.uint64)
     n = max(0, len(h) - window + 1)
     total = np.zeros(n, np.uint64)
     for k in range(window):
         total += h[k : k + n] * np.uint64(pow(STEP, k, 1 << 64))
-    owner = np.repeat(np.arange(len(words)), sizes)[:n]
+    owner = np.repeat(np.arange(len(sizes)), sizes)[:n]
     place = np.arange(n) - (np.cumsum(sizes) - sizes)[owner] if n else np.zeros(0, np.int64)
     whole = place + window <= sizes[owner] if n else np.zeros(0, bool)
     return mixed(total[whole]), owner[whole], place[whole]
@@ -110,8 +111,7 @@ def _split(window: int, buckets: int, hashed):
             by_id = np.argsort(ids, kind="stable")
             ids = ids[by_id]
             check = batch.column("check").to_numpy(zero_copy_only=False).astype(np.int64)[by_id]
-            texts = batch.column("text").take(pa.array(by_id)).to_pylist()
-            h, text, pos = window_hashes([words_of(t) for t in texts], window, hashed)
+            h, text, pos = window_hashes(batch.column("text").take(pa.array(by_id)), window, hashed)
             order = np.argsort(h, kind="stable")  # texts come in ascending id
             h, text, pos = h[order], text[order], pos[order]
             del order
@@ -332,9 +332,9 @@ def _gathered(hashes: np.ndarray, window: int, hashed):
 
     def run(batches):
         for b in batches:
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            h, text, pos = window_hashes(words, window, hashed)
+            h, text, pos = window_hashes(b.column("text"), window, hashed)
             at = np.flatnonzero(np.isin(h, hashes))
+            words = {t: words_of(b.column("text")[t].as_py()) for t in np.unique(text[at]).tolist()}
             found = [b" ".join(words[t][p : p + window]) for t, p in zip(text[at].tolist(), pos[at].tolist(), strict=True)]
             take = pa.array(text[at])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column("doc_id").take(take), b.column("_rid").take(take), pa.array(pos[at].astype(np.int32))], ["words", "doc_id", "_rid", "start"])
@@ -345,7 +345,7 @@ def _gathered(hashes: np.ndarray, window: int, hashed):
 def _settled(parts: DataFrame, rows: DataFrame, lacking: list[bytes], window: int, hashed) -> DataFrame:
     """Spans (_rid, start, cover) of the windows that share a hash with one of ``lacking``: their owner is the
     smallest document with the same words."""
-    h = np.unique(window_hashes([w.split() for w in lacking], window, hashed)[0])
+    h = np.unique(window_hashes(pa.array([w.decode("utf-8") for w in lacking], pa.string()), window, hashed)[0])
     spark = parts.sparkSession
     with settings(spark, **BATCH):
         seen = written(parts.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "_rid", "text").mapInArrow(_gathered(h, window, hashed), "words binary, doc_id bigint, _rid bigint, start int"), "settled")

@@ -29,3 +29,9 @@ def edge_vectors(n=40):
 @pytest.mark.parametrize("name", ["alpha_gates", "box_mean", "composited", "integral_image", "oriented", "pixel_digest", "pixel_metrics", "png_pixels", "run_symbols", "tensor_values", "tile_pairs"])
 def test_thousandths_are_those_of_floats(spark, tmp_path, name):
     agrees(spark, tmp_path, name, embeddings=edge_vectors())
+
+
+def test_candidate_sizes_are_those_of_doubles(spark, tmp_path):
+    ids = [6 + 17 * k for k in range(300)]
+    texts = ["x" * (50 * (k + 1)) for k in range(300)]
+    agrees(spark, tmp_path, "candidate_choice", documents=pa.table({"doc_id": pa.array([*ids, 6], pa.int64()), "text": [*texts, "x" * 2150], "source": ["s"] * 301, "lang": ["en"] * 301}))

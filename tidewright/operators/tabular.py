@@ -30,7 +30,7 @@ QUERIES = {
     "kept_reason": """WITH f AS (SELECT l_orderkey, l_linenumber, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'webp' END AS format, l_quantity > 40 AS extra, l_discount > 0.07 AS signed, l_tax > 0.06 AS animated, l_suppkey % 5 = 0 AS odd FROM lineitem)
       SELECT l_orderkey, l_linenumber, format, CASE WHEN extra THEN 'extraData' WHEN animated AND format <> 'jpeg' THEN 'animated' WHEN signed THEN 'signed' WHEN odd AND format <> 'png' THEN 'unsupportedEncoding' END AS kept FROM f""",
     # Lossy only if at least 2 percent better, never larger than the input
-    "candidate_choice": f"""WITH {FILES}, c AS (SELECT id, size, CAST(floor(size * (0.90 + (id % 13) / 100.0)) AS BIGINT) AS lossless, CAST(floor(size * (0.88 + (id % 17) / 100.0)) AS BIGINT) AS lossy FROM files),
+    "candidate_choice": f"""WITH {FILES}, c AS (SELECT id, size, CAST(floor(size * (0.90 + RATIO((id % 13), 100.0))) AS BIGINT) AS lossless, CAST(floor(size * (0.88 + RATIO((id % 17), 100.0))) AS BIGINT) AS lossy FROM files),
       b AS (SELECT *, least(lossless, size) AS reference FROM c)
       SELECT id, size, CASE WHEN lossy <= reference * 0.98 THEN lossy WHEN lossless < size THEN lossless ELSE size END AS output_size, CASE WHEN lossy <= reference * 0.98 THEN 'lossy' WHEN lossless < size THEN 'lossless' ELSE 'original' END AS choice FROM b""",
     # Accepted and rejected files of a tool

@@ -17,6 +17,7 @@ MACROS = {
     "OCTETS": ("octet_length({0})", "octet_length(encode({0}))"),
     "SHA256": ("sha2({0}, 256)", "sha256({0})"),
     "IDIV": ("(({0}) div ({1}))", "(({0}) // ({1}))"),
+    "RATIO": ("CAST({0} AS DOUBLE) / {1}", "{0} / {1}"),
     "LASTPART": ("element_at(split({0}, '/'), -1)", "list_extract(string_split({0}, '/'), -1)"),
     "EXPLODE_RANGE": ("explode(sequence({0}, {1}))", "unnest(range({0}, ({1}) + 1))"),
     "AT": ("element_at({0}, {1})", "list_extract({0}, {1})"),

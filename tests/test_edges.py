@@ -35,3 +35,19 @@ def test_candidate_sizes_are_those_of_doubles(spark, tmp_path):
     ids = [6 + 17 * k for k in range(300)]
     texts = ["x" * (50 * (k + 1)) for k in range(300)]
     agrees(spark, tmp_path, "candidate_choice", documents=pa.table({"doc_id": pa.array([*ids, 6], pa.int64()), "text": [*texts, "x" * 2150], "source": ["s"] * 301, "lang": ["en"] * 301}))
+
+
+def keys(customers, orders):
+    return {"customer": pa.table({"c_custkey": pa.array(customers, pa.int64())}), "orders": pa.table({"o_custkey": pa.array(orders, pa.int64())})}
+
+
+@pytest.mark.parametrize("tables", [keys([1, 2, 2, 3, None], [2, 2, 7, None]), keys([], [1]), keys([1], [])])
+def test_objects_without_a_key_are_removed(spark, tmp_path, tables):
+    agrees(spark, tmp_path, "pruned_objects", **tables)
+
+
+def test_objects_meet_references_by_key(spark, tmp_path):
+    for table, data in keys([1, 2], [2]).items():
+        pq.write_table(data, f"{tmp_path}/{table}.parquet")
+    plan = catalog.QUERIES["pruned_objects"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -57,7 +57,7 @@ QUERIES = {
     # The first resource by priority
     "resource_priority": "WITH c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS rn FROM orders) SELECT o_custkey AS owner, o_orderkey AS resource FROM c WHERE rn = 1",
     # Kept, dropped and newly added
-    "pruned_objects": "SELECT COUNTIF(used) AS kept, COUNTIF(NOT used) AS removed FROM (SELECT c_custkey IN (SELECT o_custkey FROM orders) AS used FROM customer) t",
+    "pruned_objects": "WITH o AS (SELECT DISTINCT o_custkey FROM orders), c AS (SELECT c_custkey, count(*) AS n FROM customer GROUP BY c_custkey) SELECT count(o_custkey) AS kept, CAST(coalesce(sum(n), 0) - count(o_custkey) AS BIGINT) AS removed FROM c LEFT JOIN o ON c_custkey = o_custkey",
     # Content digest as a cache key
     "content_digest": "SELECT SHA256(text) AS digest, count(*) AS uses, min(doc_id) AS computed_for FROM documents GROUP BY SHA256(text)",
     # Baseline and patched by case

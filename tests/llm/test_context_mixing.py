@@ -153,3 +153,28 @@ def test_held_out_texts_score_above_the_word_base(spark):
     docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     got = cm.score(docs, ~held_out(F.col("doc_id"), 5)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_weights_see_every_occurrence():
+    given, trains = texts(50, 8), [k % 5 != 1 for k in range(50)]
+    want, total = collections.Counter(), collections.Counter()
+    for text, use in zip(given, trains, strict=True):
+        codes, sizes, keys = cm.tokens(pa.array([text]))
+        classes = cm.classes_of(*cm.spelled(keys))
+        for i, code in enumerate(codes if use else []):
+            before = [int(classes[codes[i - k]]) if i >= k else 0 for k in range(1, cm.LAGS + 1)]
+            want[keys[int(code)].as_py(), before[0] + cm.CLASSES * before[1]] += 1
+            total[keys[int(code)].as_py()] += 1
+    batches = [pa.RecordBatch.from_arrays([pa.array([int(k // 20)] * 10, pa.int32()), pa.array([not t for t in trains[k : k + 10]]), pa.array(given[k : k + 10])], ["part", "held_out", "text"]) for k in range(0, 50, 10)]
+    gathered = [b for b in cm._gather(iter(batches)) if b.column("word").null_count == 0]
+    table = pa.Table.from_batches(gathered).select(["word", "c", "codes", "counts"]).sort_by("word")
+    (row,) = cm._ranged(iter(table.to_batches(max_chunksize=7)))
+    data, offsets, counts, (many, codes, times) = cm._unranged(row, 0)
+    words = [data[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+    assert {w: int(c) for w, c in zip(words, counts, strict=True) if c} == total and words == sorted(words)
+    assert dict(zip(zip(np.repeat(np.array(words, object), many), codes.tolist(), strict=True), times.tolist(), strict=True)) == want
+    assert max(many) > 2
+
+
+def test_a_range_may_hold_fewer_bytes_than_a_context():
+    assert cm.byte_slots(np.frombuffer(b"a ", np.uint8), np.array([0, 1]), 3).tolist() == [-1, -1]

@@ -18,7 +18,7 @@ fixed size, which are broadcast.
 
 The shared weights are learned from all distinct training words, weighted by their counts: each word is
 predicted with one occurrence of it taken out, ranges solve for their weights by Newton steps, the solutions
-are joined by their curvature, and all ranges together take one more step from there.  (A word's classes before are those of up to two of its occurrences.)
+are joined by their curvature, and all ranges together take one more step from there.   A word's classes before are those of all its occurrences, kept as distinct pairs with their counts.
 
 The text's own weights start anew every SEGMENT bytes (contexts do not), so numpy scores one byte of
 thousands of segments at a time.  All eight places of a byte have own weights, so that is the same as bit by bit.
@@ -46,6 +46,8 @@ LAST = (2, 3, 4)
 TABLES = LAGS + len(LAST)
 INPUTS = 1 + TABLES
 CLASSES = 256
+#: Classes before as one number, below this.
+PLACES = CLASSES**LAGS
 #: Bytes of a word that the class before helps to predict, and the longest beginning that is a context.
 CLASS_BYTES = 4
 REACH = 64
@@ -67,6 +69,7 @@ PART_BYTES = 24 << 20
 MIN_PARTS = 8
 WORDS_A_RANGE = 60_000
 CHUNK = 1 << 20  # counts that one task sums at a time
+PAIRS = 1 << 16  # pairs of a word and its classes before whose weights are solved, or which are merged, at a time
 BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "5000", "spark__sql__execution__arrow__maxBytesPerBatch": str(4 << 20)}
 END = b"\n"
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -116,7 +119,7 @@ def byte_slots(data: np.ndarray, depth: np.ndarray, order: int) -> np.ndarray:
     """Slot of the last ``order`` bytes of the word before each byte; -1 where it has fewer."""
     h = np.zeros(len(data), np.uint64)
     for k in range(1, order + 1):
-        h[k:] |= data[: len(data) - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+        h[k:] |= data[: max(len(data) - k, 0)].astype(np.uint64) << np.uint64(8 * (k - 1))
     return np.where(depth >= order, _slot(h + np.uint64(order << 40)), -1)
 
 
@@ -264,44 +267,47 @@ def _inputs(data, sizes, rows, tables) -> tuple[list[np.ndarray], np.ndarray]:
 
 def learned(data, offsets, counts, before, spine, tables, lessened, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(curvature [gate, place, input, input], curvature times solution) of the weights that suit the words of
-    a range best, each word's own occurrence taken out; with ``weights``, of one Newton step from those.  ``before`` [word, occurrence, lag]: classes before."""
+    a range best, each word's own occurrence taken out; with ``weights``, of one Newton step from those.  
+    ``before``: (pairs of each word, their classes before, how often training has each); every occurrence counts."""
     size = np.diff(offsets)
     rows, many = trie_rows(data, offsets, counts, spine, 1)
     x, gate = _inputs(data, size, spread(rows, many, counts - 1, size), tables)
     depth, owner = places(size)
     heads, _ = heads_of(data, offsets)
-    used = counts[owner] > 0
-    early = depth < CLASS_BYTES
-    parts = [np.flatnonzero(used & ~early)] + [np.flatnonzero(used & early)] * before.shape[1]
-    at = np.concatenate(parts)
-    extra = [np.zeros((len(at), 8), np.int8) for _ in range(LAGS)]
-    weight = counts[owner[at]].astype(np.float64)
-    weight[len(parts[0]) :] /= before.shape[1]
-    begin = len(parts[0])
-    for k, part in enumerate(parts[1:]):
+    curve, pull, found = np.zeros((GATES, 8, INPUTS, INPUTS)), np.zeros((GATES, 8, INPUTS)), {}
+
+    def add(at, extra, weight):
+        gates = gate[at]
+        order = np.argsort(gates, kind="stable")
+        cuts = np.searchsorted(gates[order], np.arange(GATES + 1))
+        for g in np.flatnonzero(np.diff(cuts)):
+            own = order[cuts[g] : cuts[g + 1]]
+            w, h, more = solved([(np.stack([*(f[at[some]] for f in x), *(f[some] for f in extra)]), weight[some]) for some in np.split(own, np.arange(BLOCK, len(own), BLOCK))], None if weights is None else weights[g], found.get(g))
+            found[g] = w
+            curve[g] += h
+            pull[g] += np.einsum("jab,jb->ja", h, w) + more
+
+    late = np.flatnonzero((counts[owner] > 0) & (depth >= CLASS_BYTES))
+    add(late, [np.zeros((len(late), 8), np.int8)] * LAGS, counts[owner[late]].astype(np.float64))
+    many, codes, times = before
+    word = np.repeat(np.arange(len(size)), many)
+    for a in range(0, len(codes), PAIRS):
+        w, c, t = word[a : a + PAIRS], codes[a : a + PAIRS].astype(np.int64), times[a : a + PAIRS].astype(np.float64)
+        at, extra, weight = [], [[] for _ in range(LAGS)], []
         for d in range(CLASS_BYTES):
-            here = np.flatnonzero(depth[part] == d)
-            w = owner[part[here]]
+            here = np.flatnonzero(size[w] > d)
+            at.append(offsets[w[here]] + d)
+            weight.append(t[here])
             for lag in range(LAGS):
-                extra[lag][begin + here] = looked_up_lessened(lessened[lag], class_slots(before[w, k, lag], heads[w], d), data[part[here]])
-        begin += len(part)
-    gates = gate[at]
-    order = np.argsort(gates, kind="stable")
-    cuts = np.searchsorted(gates[order], np.arange(GATES + 1))
-    curve, pull = np.zeros((GATES, 8, INPUTS, INPUTS)), np.zeros((GATES, 8, INPUTS))
-    for g in range(GATES):
-        own = order[cuts[g] : cuts[g + 1]]
-        if not len(own):
-            continue
-        w, h, more = solved([(np.stack([*(f[at[some]] for f in x), *(f[some] for f in extra)]), weight[some]) for some in np.split(own, np.arange(BLOCK, len(own), BLOCK))], None if weights is None else weights[g])
-        curve[g], pull[g] = h, np.einsum("jab,jb->ja", h, w) + more
+                extra[lag].append(looked_up_lessened(lessened[lag], class_slots(c[here] // CLASSES**lag % CLASSES, heads[w[here]], d), data[at[-1]]))
+        add(np.concatenate(at), [np.concatenate(e) for e in extra], np.concatenate(weight))
     return curve, pull
 
 
-def solved(blocks: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def solved(blocks: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray | None = None, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights [place, input] of the least cost, curvature there, 0), or (``start``, curvature and slope there) for blocks of (inputs [input, byte, place],
-    weight of each byte).  Newton steps of at most 1 an input; one that raises a place's cost is cut to a quarter."""
-    w = np.full((8, INPUTS), START) if start is None else start
+    weight of each byte).  Newton steps from ``begin`` of at most 1 an input; one that raises a place's cost is cut to a quarter."""
+    w = start if start is not None else np.full((8, INPUTS), START) if begin is None else begin
     best, least, curve = w.copy(), np.full(8, np.inf), np.zeros((8, INPUTS, INPUTS))
     for _ in range(NEWTON):
         h, slope, cost = np.zeros((8, INPUTS, INPUTS)), np.zeros((8, INPUTS)), ((w - START) ** 2).sum(1) / 2
@@ -403,7 +409,7 @@ def text_bits(codes, sizes, data, offsets, rows, tables, shared, rate: float = R
 
 # ---- corpus ---------------------------------------------------------------------------------
 
-GATHERED = "part int, word binary, c bigint, class int, chunk int, codes binary, counts binary"
+GATHERED = "part int, word binary, c bigint, chunk int, codes binary, counts binary"
 
 
 def _batch(types: str, **columns) -> pa.RecordBatch:
@@ -423,23 +429,39 @@ def _sums(order: int, counts: np.ndarray, at: np.ndarray):
             yield order * (SLOTS * 256 // CHUNK) + k, (at[some] - k * CHUNK).astype("<u4").tobytes(), counts[some].astype("<i8").tobytes()
 
 
+def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary cell of ``values`` between each two of ``ends``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype("<i4")), pa.py_buffer(values.tobytes())])
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct pairs, their times) of (pairs, times); a pair is a word's number and its classes before."""
+    pairs, times = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in (0, 1))
+    order = np.argsort(pairs)
+    pairs, times = pairs[order], times[order]
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[first], np.add.reduceat(times, first) if len(first) else times
+
+
 def _gather(batches):
-    """Rows in order of their part -> its distinct words with training counts and a class before; at the end
-    the task's counts of the class before with the beginning."""
+    """Rows in order of their part -> its distinct words with training counts and their classes before; at the
+    end the task's counts of the class before with the beginning."""
     total = np.zeros((LAGS, SLOTS * 256), np.uint32)
     part, held = None, []
 
     def flush():
         nonlocal held
         coded = pa.chunked_array([k for k, _, _ in held]).combine_chunks().dictionary_encode()
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        c = np.bincount(at, np.concatenate([c for _, c, _ in held]), len(coded.dictionary)).astype(np.int64)
-        before = np.zeros(len(coded.dictionary), np.int64)
-        before[at] = np.concatenate([b for _, _, b in held])
+        at, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+        c = np.bincount(at, np.concatenate([c for _, c, _ in held]), n).astype(np.int64)
+        begin = np.cumsum([0, *(len(k) for k, _, _ in held)])
+        pairs, times = _merged([(at[begin[i] + p // PLACES] * PLACES + p % PLACES, t) for i, (_, _, (p, t)) in enumerate(held)])
+        cut = np.searchsorted(pairs, np.arange(n + 1) * PLACES)
         held = []
-        for a in range(0, len(c), 50_000):
-            s = slice(a, a + 50_000)
-            yield _batch(GATHERED, part=np.full(len(c[s]), part, np.int32), word=coded.dictionary.slice(a, 50_000), c=c[s], **{"class": before[s].astype(np.int32)})
+        for a in range(0, n, 50_000):
+            z = min(a + 50_000, n)
+            some, ends = slice(cut[a], cut[z]), cut[a : z + 1] - cut[a]
+            yield _batch(GATHERED, part=np.full(z - a, part, np.int32), word=coded.dictionary.slice(a, z - a), c=c[a:z], codes=_cells((pairs[some] % PLACES).astype("<u2"), ends), counts=_cells(times[some].astype("<u4"), ends))
 
     for b in batches:
         parts = b.column("part").to_numpy(zero_copy_only=False)
@@ -460,11 +482,8 @@ def _gather(batches):
                 use = size[known] > d
                 for lag in range(LAGS):
                     np.add.at(total[lag], class_slots(prior[use, lag], heads[known[use]], d) * 256 + heads[known[use], d], np.uint32(1))
-            packed = before @ CLASSES ** np.arange(LAGS)
-            example = np.zeros(len(keys), np.int64)
-            example[codes] = packed
-            example[known] = packed[trains]
-            held.append((keys, np.bincount(known, minlength=len(keys)), example))
+            pairs = known * PLACES + prior @ CLASSES ** np.arange(LAGS)
+            held.append((keys, np.bincount(known, minlength=len(keys)), _merged([(pairs, np.ones(len(pairs), np.int64))])))
     if held:
         yield from flush()
     made = [m for lag in range(LAGS) for at in [np.flatnonzero(total[lag])] for m in _sums(lag, total[lag][at], at)]
@@ -472,25 +491,43 @@ def _gather(batches):
         yield _batch(GATHERED, chunk=[m[0] for m in made], codes=[m[1] for m in made], counts=[m[2] for m in made])
 
 
-RANGES = "n bigint, first binary, last binary, data binary, sizes binary, counts binary, before binary"
+RANGES = "n bigint, v bigint, t bigint, first binary, last binary, data binary, sizes binary, counts binary, many binary, codes binary, times binary"
 
 
 def _ranged(batches):
-    """Sorted words of one range as one row."""
-    held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-    if not held:
+    """Sorted words of one range, a row a part that has the word, as one row."""
+    words, counts, held, n, last = [], [], [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        coded = b.column("word").cast(pa.large_binary()).dictionary_encode()
+        keys, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        c = np.bincount(at, b.column("c").to_numpy(), len(keys)).astype(np.int64)
+        again = keys[0].as_py() == last
+        at += n - again
+        if again:
+            counts[-1][-1] += c[0]
+        words.append(keys.slice(int(again)))
+        if len(c) > again:
+            counts.append(c[int(again) :])
+        n, last = n + len(keys) - again, keys[len(keys) - 1].as_py()
+        raw, ends = spelled(b.column("codes").cast(pa.large_binary()))
+        held.append((np.repeat(at, np.diff(ends) // 2) * PLACES + raw.view("<u2"), spelled(b.column("counts").cast(pa.large_binary()))[0].view("<u4")))
+        if len(held) > 1 and sum(len(p) for p, _ in held[1:]) > max(1 << 20, len(held[0][0])):
+            held = [_merged(held)]
+    if not n:
         return
-    t = pa.concat_tables(held).combine_chunks()
-    data, offsets = spelled(t.column("word").chunk(0).cast(pa.large_binary()))
-    c = t.column("c").to_numpy()
-    before = np.stack([t.column("k1").to_numpy(), t.column("k2").to_numpy()], 1).astype("<i4")
+    keys, c = pa.concat_arrays(words), np.concatenate(counts)
+    pairs, times = _merged(held)
+    data, offsets = spelled(keys)
     key = lambda i: data[offsets[i] : offsets[i + 1]].tobytes()
-    yield _batch(RANGES, n=[len(c)], first=[key(0)[:REACH]], last=[key(len(c) - 1)[:REACH]], data=[data.tobytes()], sizes=[np.diff(offsets).astype("<i4").tobytes()], counts=[c.astype("<i8").tobytes()], before=[before.tobytes()])
+    cells = {"data": data, "sizes": np.diff(offsets).astype("<i4"), "counts": c.astype("<i8"), "many": np.bincount(pairs // PLACES, minlength=n).astype("<i4"), "codes": (pairs % PLACES).astype("<u2"), "times": times.astype("<i8")}
+    yield _batch(RANGES, n=[n], v=[int((c > 0).sum())], t=[int(c.sum())], first=[key(0)[:REACH]], last=[key(n - 1)[:REACH]], **{k: [f.tobytes()] for k, f in cells.items()})
 
 
 def _unranged(batch: pa.RecordBatch, i: int):
-    data, sizes, counts = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("data", np.uint8), ("sizes", "<i4"), ("counts", "<i8")))
-    return data, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), counts, np.frombuffer(batch.column("before")[i].as_py(), "<i4").reshape(-1, 2, 1).astype(np.int64) // CLASSES ** np.arange(LAGS) % CLASSES
+    data, sizes, counts, *before = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("data", np.uint8), ("sizes", "<i4"), ("counts", "<i8"), ("many", "<i4"), ("codes", "<u2"), ("times", "<i8")))
+    return data, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), counts, before
 
 
 def _suffix_sums(batches):
@@ -559,7 +596,22 @@ def _spine_counts(depths: dict[bytes, int]):
     return run
 
 
-ODDS = "word binary, c bigint, odds binary, stat int, value double"
+ODDS = "word binary, c bigint, odds binary, stats binary"
+
+
+def _flat(parts) -> bytes:
+    return np.concatenate([f.reshape(-1) for f in parts]).astype("<f8").tobytes()
+
+
+def _summed(batches):
+    """The sum of all rows of a task."""
+    total = None
+    for b in batches:
+        for raw in b.column("stats"):
+            value = np.frombuffer(raw.as_py(), "<f8")
+            total = value if total is None else total + value
+    if total is not None:
+        yield _batch("stats binary", stats=[total.tobytes()])
 
 
 def _modelled(shared):
@@ -577,9 +629,7 @@ def _modelled(shared):
                     some = range(a, min(a + 50_000, len(counts)))
                     yield _batch(ODDS, word=[data[offsets[k] : offsets[k + 1]].tobytes() for k in some], c=counts[a : some.stop], odds=[raw[9 * (ends[k] - many[k]) : 9 * ends[k]] for k in some])
                 del rows, raw
-                value = np.concatenate([f.reshape(-1) for f in learned(data, offsets, counts, before, spine, tables, lessened)])
-                stat = np.flatnonzero(value)
-                yield _batch(ODDS, stat=stat.astype(np.int32), value=value[stat])
+                yield _batch(ODDS, stats=[_flat(learned(data, offsets, counts, before, spine, tables, lessened))])
                 release()
 
     return run
@@ -592,19 +642,17 @@ def _stepped(shared):
         packed, spine, less, weights = shared.value
         for b in batches:
             for i in range(b.num_rows):
-                value = np.concatenate([f.reshape(-1) for f in learned(*_unranged(b, i), spine, packed.get(), less.get(), weights)])
-                stat = np.flatnonzero(value)
-                yield _batch("stat int, value double", stat=stat.astype(np.int32), value=value[stat])
+                yield _batch("stats binary", stats=[_flat(learned(*_unranged(b, i), spine, packed.get(), less.get(), weights))])
                 release()
 
     return run
 
 
 def _weights_of(stats: DataFrame) -> np.ndarray:
-    """Weights from the sums of all ranges' (stat, value)."""
+    """Weights from the sums of all ranges' curvatures and pulls, a row a range."""
     flat = np.zeros(GATES * 8 * INPUTS * (INPUTS + 1))
-    for r in stats.groupBy("stat").agg(F.sum("value").alias("value")).toLocalIterator():
-        flat[r["stat"]] = r["value"]
+    for r in stats.repartition(MIN_PARTS).mapInArrow(_summed, "stats binary").toLocalIterator():
+        flat += np.frombuffer(r["stats"], "<f8")
     cut = GATES * 8 * INPUTS * INPUTS
     return joined(flat[:cut].reshape(GATES, 8, INPUTS, INPUTS), flat[cut:].reshape(GATES, 8, INPUTS))
 
@@ -664,13 +712,12 @@ def score(docs: DataFrame, training, rate: float = RATE, part_bytes: int = PART_
         gathered = written(dealt.mapInArrow(returning(_gather), GATHERED), "gathered")
     free_shuffles(spark)
     wanted = gathered.where("word IS NOT NULL")
-    pick = F.struct(F.xxhash64("part", "word").alias("h"), "class")
-    words = written(wanted.groupBy("word").agg(F.sum("c").alias("c"), F.min(pick)["class"].alias("k1"), F.max(pick)["class"].alias("k2")), "words")
-    known = words.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("t")).first()
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="20000", spark__sql__execution__arrow__maxBytesPerBatch=str(8 << 20)):
+        many = max(1, -(-wanted.count() // words_a_range))
+        ranges = written(wanted.select("word", "c", "codes", "counts").repartitionByRange(many, "word").sortWithinPartitions("word").mapInArrow(returning(_ranged), RANGES), "ranges")
+    free_shuffles(spark)
+    known = ranges.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in "vt")).first()
     train_tokens, bottom = known["t"], known["t"] + 0.5 * (known["v"] + 1)
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="100000"):
-        ranges = written(words.repartitionByRange(max(1, -(-known["n"] // words_a_range)), "word").sortWithinPartitions("word").mapInArrow(_ranged, RANGES), "ranges")
-    dropped(words)
 
     # One file a range: ranges are read one at a time, by as many tasks.
     with settings(spark, spark__sql__files__maxPartitionBytes="4m", spark__sql__files__openCostInBytes="4m", spark__sql__execution__arrow__maxRecordsPerBatch="1"):
@@ -685,6 +732,8 @@ def score(docs: DataFrame, training, rate: float = RATE, part_bytes: int = PART_
                 lessened[r["chunk"]] = np.frombuffer(r["less"], np.int8)
         tables, lessened = list(tables.reshape(TABLES, -1)), list(lessened.reshape(LAGS, -1))
         dropped(made)
+        asked = written(wanted.select("part", "word"), "asked")
+        dropped(gathered)
         # Two keys a range; and the beginnings that neighbours share, a few a range.
         edges = sorted((r["first"], r["last"]) for r in ranges.select("first", "last").collect())
         depths: dict[bytes, int] = {}
@@ -699,21 +748,24 @@ def score(docs: DataFrame, training, rate: float = RATE, part_bytes: int = PART_
         less = Packed(lessened)
         model = spark.sparkContext.broadcast((packed, spine, less))
         odds = written(ranges.mapInArrow(returning(_modelled(model)), ODDS), "odds")
-        weights = _weights_of(odds.where("stat IS NOT NULL").select("stat", "value"))
+        weights = _weights_of(odds.where("stats IS NOT NULL").select("stats"))
         model.destroy()
         if len(edges) > 1:
             model = spark.sparkContext.broadcast((packed, spine, less, weights))
-            weights = _weights_of(ranges.mapInArrow(returning(_stepped(model)), "stat int, value double"))
+            weights = _weights_of(ranges.mapInArrow(returning(_stepped(model)), "stats binary"))
             model.destroy()
     dropped(ranges)
     shared = spark.sparkContext.broadcast((packed, weights))
     del tables, lessened, packed, less
     release()
 
-    asked = wanted.select("part", "word").join(odds.where("word IS NOT NULL").select("word", "c", "odds"), "word")
+    # Written, so that the join's shuffle is freed before the next one.
+    found = written(asked.join(odds.where("word IS NOT NULL").select("word", "c", "odds"), "word"), "found")
+    dropped(odds, asked)
+    free_shuffles(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     null = lambda t: F.lit(None).cast(t)
-    both = asked.select("part", F.lit(0).alias("kind"), "word", "c", "odds", null(kind).alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text"))
+    both = found.select("part", F.lit(0).alias("kind"), "word", "c", "odds", null(kind).alias("doc_id"), null("boolean").alias("held_out"), null("string").alias("text"))
     both = both.unionByName(rows.select("part", F.lit(1).alias("kind"), null("binary").alias("word"), null("bigint").alias("c"), null("binary").alias("odds"), "doc_id", "held_out", "text"))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "bits", "n_bytes"]
 
@@ -746,7 +798,7 @@ def score(docs: DataFrame, training, rate: float = RATE, part_bytes: int = PART_
 
     with settings(spark, **{**BATCH, "spark__sql__execution__arrow__maxRecordsPerBatch": "50000", "spark__sql__execution__arrow__maxBytesPerBatch": str(3 << 20)}):
         out = written(both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(returning(scored), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, bits double, n_bytes bigint"), "scored")
-    dropped(odds, gathered)
+    dropped(found)
     return out.select(
         "doc_id",
         "held_out",

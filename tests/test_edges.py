@@ -84,6 +84,10 @@ ODD_CASES = [
     ("integral_image", "no id"),
     ("integral_image", "sizes"),
     ("integral_image", "null entries"),
+    ("oriented", "no id"),
+    ("oriented", "below 0"),
+    ("oriented", "repeated"),
+    ("oriented", "sizes"),
     # cases of odd vectors end here
 ]
 

@@ -102,6 +102,10 @@ ODD_CASES = [
     ("run_symbols", "no id"),
     ("run_symbols", "sizes"),
     ("run_symbols", "null entries"),
+    ("tile_pairs", "below 0"),
+    ("tile_pairs", "tile of other sizes"),
+    ("tile_pairs", "null entries"),
+    ("tile_pairs", "repeated"),
     # cases of odd vectors end here
 ]
 

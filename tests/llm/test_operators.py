@@ -153,6 +153,19 @@ def test_automaton_knows_substrings():
     assert a.matching("b a b b c".split()) == [1, 2, 3, 2, 2]  # "b c" is the end of the first sequence
 
 
+def test_units_of_letters_skip_the_rules():
+    """Letters that the rules do not change are encoded without them, all other units with them, in their order."""
+    path = token_store.default_tokenizer()
+    made, quick = token_store.tokenizer(path)[0], token_store.letters_tokenizer(path)
+    units = ["the", "élève", "ÿß", "x" * 1500, "École", "e\u0301t", "don't", "a1", "ſt", "\x01", "naïve", "ǆ", "zz", "<|endoftext|>", "œuvre", "µ"]
+    ids, sizes = token_store.encode_units(units, path)
+    want = [made.encode(u, add_special_tokens=False).ids for u in units]
+    assert np.split(ids, np.cumsum(sizes)[:-1])[1].tolist() == want[1] and ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    calls = [u for u in units if token_store.LETTERS.fullmatch(u)]
+    assert quick is not None and quick.normalizer is None and calls == ["the", "élève", "ÿß", "x" * 1500, "naïve", "zz"]
+    assert all(quick.encode(u, add_special_tokens=False).ids == made.encode(u, add_special_tokens=False).ids for u in calls)
+
+
 def test_token_store(spark, odd, empty):
     path = new_path(spark, "t")
     token_store.write_token_shards(odd, path, shard_ids=100)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from functools import cache
@@ -381,6 +382,25 @@ def tokenizer(path: str):
     return made, mark[0] if len(mark) == 1 else None, apart
 
 
+#: Units of these letters alone are what the rules of WORDWISE make of them: lower case, composed, one run.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+
+
+@cache
+def letters_tokenizer(path: str):
+    """The tokenizer without the rules that change nothing in LETTERS, or None where an added token may be in them.
+    Units come once, so the library's own store of words would only cost time."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    full, mark, apart = tokenizer(path)
+    if not apart or any(LETTERS.fullmatch(t.content.lower()) for t in full.get_added_tokens_decoder().values()):
+        return None
+    made = Tokenizer(full.model)
+    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    made.model._resize_cache(0)
+    return made if made.encode(MARK, add_special_tokens=False).ids == [mark] else None
+
+
 @cache
 def added_heads(path: str) -> np.ndarray:
     """True for the first bytes, in any case, of tokens that the library looks for before it lower-cases."""
@@ -404,13 +424,17 @@ class _Known:
             cls.starts = cls.sizes = np.zeros(0, np.int64)
         at = pc.index_in(units, value_set=cls.units)
         if at.null_count:
-            new = units.filter(pc.is_null(at))
+            missing = pc.is_null(at)
+            new = units.filter(missing)
             ids, sizes = encode_units(new.cast(pa.large_string()).to_pylist(), path)
             cls.starts = np.concatenate([cls.starts, np.cumsum(sizes) - sizes + len(cls.ids)])
             cls.sizes, cls.ids = np.concatenate([cls.sizes, sizes]), np.concatenate([cls.ids, ids])
+            missing = missing.to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at[missing] = len(cls.units) + np.arange(len(new))
             cls.units = pa.concat_arrays([cls.units, new])
-            at = pc.index_in(units, value_set=cls.units)
-        at = at.to_numpy(zero_copy_only=False)
+        else:
+            at = at.to_numpy(zero_copy_only=False)
         return cls.ids, cls.starts[at], cls.sizes[at]
 
 
@@ -477,22 +501,27 @@ def encode_units(given: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     can have."""
     made, mark, _ = tokenizer(path)
     sizes, parts = np.zeros(len(given), np.int64), []
-    plain = [k for k, w in enumerate(given) if MARK not in w and len(w) < 1000] if mark is not None else []
-    odd = sorted(set(range(len(given))) - set(plain)) if len(plain) < len(given) else []
+    quick = letters_tokenizer(path) if mark is not None else None
+    letters = [k for k, w in enumerate(given) if LETTERS.fullmatch(w) and len(w) < 1000] if quick is not None else []
+    rest = sorted(set(range(len(given))) - set(letters)) if len(letters) < len(given) else []
+    grouped = [k for k in rest if MARK not in given[k] and len(given[k]) < 1000] if mark is not None else []
+    plain = letters + grouped
+    odd = sorted(set(rest) - set(grouped)) if len(grouped) < len(rest) else []
     glue, group = f" {MARK} ", 64
-    for begin in range(0, len(plain), group * 256):
-        some = plain[begin : begin + group * 256]
-        lines = [glue.join([given[k] for k in some[i : i + group]]) + glue for i in range(0, len(some), group)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in made.encode_batch_fast(lines, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == mark)
-        sizes[some] = np.diff(ends, prepend=-1) - 1
-        parts.append(np.delete(ids, ends))
+    for of, by in ((letters, quick), (grouped, made)):
+        for begin in range(0, len(of), group * 256):
+            some = of[begin : begin + group * 256]
+            lines = [glue.join([given[k] for k in some[i : i + group]]) + glue for i in range(0, len(some), group)]
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in by.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == mark)
+            sizes[some] = np.diff(ends, prepend=-1) - 1
+            parts.append(np.delete(ids, ends))
     for k in odd:
         one = np.array(made.encode(given[k], add_special_tokens=False).ids, np.int32)
         sizes[k] = len(one)
         parts.append(one)
     flat = np.concatenate([*parts, np.zeros(0, np.int32)])
-    if odd:
+    if rest:
         order = np.array(plain + odd, np.int64)
         starts = np.zeros(len(given), np.int64)
         starts[order] = np.cumsum(sizes[order]) - sizes[order]

@@ -28,13 +28,15 @@ def runs(texts: pa.Array, space: np.ndarray = SPACE, changed: np.ndarray | None
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
     first[begins] = inside[begins]
-    begin, letters = np.flatnonzero(first), np.flatnonzero(inside)
-    owner = (np.cumsum(first, dtype=np.int32) - 1)[letters]
-    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(begin)) + tail)]).astype(np.int64)
-    out = data[letters]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    begin, stop = np.flatnonzero(first), np.flatnonzero(last)
+    ends = np.concatenate([[0], np.cumsum(stop + 1 - begin + tail)]).astype(np.int64)
+    out = data[inside]
     if tail:
-        spaced = np.full(int(ends[-1]), 32, np.uint8)
-        spaced[np.arange(len(letters)) + owner] = out
+        spaced, of_word = np.full(int(ends[-1]), 32, np.uint8), np.ones(int(ends[-1]), bool)
+        of_word[ends[1:] - 1] = False
+        spaced[of_word] = out
         out = spaced
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(out))])
     return words, np.diff(np.searchsorted(begin, offsets))

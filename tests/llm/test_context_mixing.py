@@ -178,3 +178,31 @@ def test_weights_see_every_occurrence():
 
 def test_a_range_may_hold_fewer_bytes_than_a_context():
     assert cm.byte_slots(np.frombuffer(b"a ", np.uint8), np.array([0, 1]), 3).tolist() == [-1, -1]
+
+
+def scoring_peak(words=200_000):
+    """Bytes held at most while one batch is scored, a byte of its stream."""
+    import tracemalloc
+
+    g = np.random.default_rng(4)
+    pool = ["".join(chr(97 + k) for k in g.integers(0, 26, g.integers(4, 12))) for _ in range(500)]
+    codes, sizes, keys = cm.tokens(pa.array([" ".join(pool[k] for k in g.integers(0, 500, words))]))
+    data, offsets = cm.spelled(keys)
+    rows = np.zeros((len(data), 9), np.int8)
+    tables, shared = [np.zeros(cm.SLOTS * 256, np.int8)] * cm.TABLES, np.full((cm.GATES, 8, cm.INPUTS), cm.START)
+    tracemalloc.start()
+    _, stream = cm.text_bits(codes, sizes, data, offsets, rows, tables, shared)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / stream.sum()
+
+
+def test_scoring_holds_few_numbers_a_byte():
+    assert scoring_peak() < 28
+
+
+def test_batches_of_a_part_are_let_go():
+    held = [pa.table({"word": pa.array([b"a ", b"bc "], pa.binary()), "c": pa.array([3, 4], pa.int64()), "odds": pa.array([bytes(9), bytes(18)], pa.binary())}), pa.table({"word": pa.array([b"\n"], pa.binary()), "c": pa.array([5], pa.int64()), "odds": pa.array([b""], pa.binary())})]
+    made = cm.Dictionary(held)
+    assert held == [] and made.counts.tolist() == [3, 4, 5] and made.many.tolist() == [1, 2, 0] and made.begin.tolist() == [0, 1, 3]
+    assert made.of(pa.array([b"\n", b"bc "], pa.large_binary()))[0].tolist() == [5, 4]

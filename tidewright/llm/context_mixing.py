@@ -307,34 +307,45 @@ def learned(data, offsets, counts, before, spine, tables, lessened, weights: np.
 def solved(blocks: list[tuple[np.ndarray, np.ndarray]], start: np.ndarray | None = None, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights [place, input] of the least cost, curvature there, 0), or (``start``, curvature and slope there) for blocks of (inputs [input, byte, place],
     weight of each byte).  Newton steps from ``begin`` of at most 1 an input; one that raises a place's cost is cut to a quarter."""
-    w = start if start is not None else np.full((8, INPUTS), START) if begin is None else begin
-    best, least, curve = w.copy(), np.full(8, np.inf), np.zeros((8, INPUTS, INPUTS))
-    for _ in range(NEWTON):
-        h, slope, cost = np.zeros((8, INPUTS, INPUTS)), np.zeros((8, INPUTS)), ((w - START) ** 2).sum(1) / 2
-        for x, weight in blocks:
-            many = weight.astype(np.float32)
-            for j in range(8):
-                b = x[:, :, j].astype(np.float32)
-                b *= np.float32(1 / UNIT)
-                z = w[j].astype(np.float32) @ b
-                e = np.exp(-np.clip(z, -14, 14))
-                e += np.float32(1)
-                cost[j] += float(np.log(e) @ many)
-                p = np.float32(1) - np.float32(1) / e
-                p *= many
-                slope[j] += b @ p
-                p /= e
-                h[j] += (b * p) @ b.T
+    w = (start if start is not None else np.full((8, INPUTS), START) if begin is None else begin).copy()
+    curve, slopes = np.zeros((8, INPUTS, INPUTS)), np.zeros((8, INPUTS))
+    weighted = [weight.astype(np.float32) for _, weight in blocks]
+    for j in range(8):  # places have weights of their own, so each stops by itself
+        own = [x[:, :, j].astype(np.float32) for x, _ in blocks]
+        for b in own:
+            b *= np.float32(1 / UNIT)
         if start is not None:
-            return w, h, slope
-        good = cost <= least
-        least, best, curve = np.where(good, cost, least), np.where(good[:, None], w, best), np.where(good[:, None, None], h, curve)
-        step = np.linalg.solve(h + np.eye(INPUTS), (slope + START - w)[:, :, None])[:, :, 0]
-        step /= np.maximum(1, np.abs(step).max(1))[:, None]
-        if np.abs(step[good]).max(initial=0) < 0.01 and good.all():
-            break
-        w = np.where(good[:, None], w + step, best + (w - best) / 4)
-    return best, curve, np.zeros((8, INPUTS))
+            _, curve[j], slopes[j] = _costs(own, weighted, w[j])
+            continue
+        now, least = w[j].copy(), np.inf
+        for _ in range(NEWTON):
+            cost, h, slope = _costs(own, weighted, now)
+            good = cost <= least
+            if good:
+                least, w[j], curve[j] = cost, now, h
+            step = np.linalg.solve(h + np.eye(INPUTS), slope + START - now)
+            step /= max(1, np.abs(step).max())
+            if good and np.abs(step).max() < 0.01:
+                break
+            now = now + step if good else w[j] + (now - w[j]) / 4
+    return w, curve, slopes
+
+
+def _costs(own: list[np.ndarray], weighted: list[np.ndarray], w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(cost, curvature, slope) of the weights of one place."""
+    cost, h, slope = float(((w - START) ** 2).sum() / 2), np.zeros((INPUTS, INPUTS)), np.zeros(INPUTS)
+    for b, many in zip(own, weighted, strict=True):
+        e = w.astype(np.float32) @ b
+        np.clip(e, -14, 14, out=e)
+        np.exp(np.negative(e, out=e), out=e)
+        e += np.float32(1)
+        cost += float(np.log(e) @ many)
+        p = np.float32(1) - np.float32(1) / e
+        p *= many
+        slope += b @ p
+        p /= e
+        h += (b * p) @ b.T
+    return cost, h, slope
 
 
 def joined(curve: np.ndarray, pull: np.ndarray) -> np.ndarray:
@@ -381,19 +392,23 @@ def text_bits(codes, sizes, data, offsets, rows, tables, shared, rate: float = R
     """(bits, bytes of the stream) of each text, given as its tokens, the keys and the rows of their bytes."""
     of_key = np.diff(offsets)
     x, gates = _inputs(data, of_key, rows, tables)
-    heads, _ = heads_of(data, offsets)
+    heads, many = heads_of(data, offsets)[0].astype(np.uint8)[codes], of_key[codes]
     before = classes_before(codes, sizes, classes_of(data, offsets))
     extra = [np.zeros((len(codes) * CLASS_BYTES + 1, 8), np.int8) for _ in range(LAGS)]
     for lag in range(LAGS):
         for d in range(CLASS_BYTES):
-            slot = np.where(of_key[codes] > d, class_slots(before[:, lag], heads[codes], d), -1)
-            extra[lag][d : len(codes) * CLASS_BYTES : CLASS_BYTES] = looked_up(tables[lag], slot, heads[codes, d])
-    many = of_key[codes]
+            slot = np.where(many > d, class_slots(before[:, lag], heads, d), -1)
+            extra[lag][d : len(codes) * CLASS_BYTES : CLASS_BYTES] = looked_up(tables[lag], slot, heads[:, d])
+    del before, heads
+    # The stream has many more bytes than tokens: numbers of 32 bits a byte, and none besides those that are kept.
     ends = np.cumsum(many)
-    place, token = places(many)
-    source = (offsets[codes][token] + place).astype(np.int32)
-    extra_of = np.where(place < CLASS_BYTES, token * CLASS_BYTES + place, len(codes) * CLASS_BYTES).astype(np.int32)
-    del place, token
+    begin = ends - many
+    source = np.repeat((offsets[codes] - begin).astype(np.int32), many)
+    source += np.arange(len(source), dtype=np.int32)
+    extra_of = np.full(len(source), len(codes) * CLASS_BYTES, np.int32)
+    for d in range(CLASS_BYTES):
+        use = np.flatnonzero(many > d)
+        extra_of[begin[use] + d] = use * CLASS_BYTES + d
     stops = ends[np.cumsum(sizes) - 1]
     stream = np.diff(stops, prepend=0)
     pieces = -(-stream // SEGMENT)
@@ -478,10 +493,12 @@ def _gather(batches):
             before = classes_before(codes, sizes, classes_of(data, offsets))
             known, prior = codes[trains], before[trains]
             heads, size = heads_of(data, offsets)
+            heads, size = heads.astype(np.uint8)[known], size[known]
             for d in range(CLASS_BYTES):
-                use = size[known] > d
+                use = np.flatnonzero(size > d)
+                some = heads[use]
                 for lag in range(LAGS):
-                    np.add.at(total[lag], class_slots(prior[use, lag], heads[known[use]], d) * 256 + heads[known[use], d], np.uint32(1))
+                    np.add.at(total[lag], class_slots(prior[use, lag], some, d) * 256 + some[:, d], np.uint32(1))
             pairs = known * PLACES + prior @ CLASSES ** np.arange(LAGS)
             held.append((keys, np.bincount(known, minlength=len(keys)), _merged([(pairs, np.ones(len(pairs), np.int64))])))
     if held:
@@ -676,11 +693,14 @@ class Dictionary:
     """Counts and rows of the words of one part."""
 
     def __init__(self, held: list[pa.Table]):
-        t = pa.concat_tables(held).combine_chunks()
-        self.words = t.column("word").chunk(0).cast(pa.large_binary())
-        self.counts = t.column("c").to_numpy()
-        raw, offsets = spelled(t.column("odds").chunk(0).cast(pa.large_binary()))
-        self.rows, self.begin, self.many = raw.view(np.int8).reshape(-1, 9), offsets[:-1] // 9, np.diff(offsets) // 9
+        # A column at a time; the batches are emptied as they are read, so that no word is held twice.
+        whole = lambda name: pa.chunked_array([t.column(name).chunk(0) for t in held]).combine_chunks().cast(pa.large_binary())
+        self.counts = np.concatenate([t.column("c").to_numpy() for t in held])
+        self.words = whole("word")
+        held[:] = [t.select(["odds"]) for t in held]
+        raw, offsets = spelled(whole("odds"))
+        held.clear()
+        self.rows, self.begin, self.many = raw.view(np.int8).reshape(-1, 9), (offsets[:-1] // 9).astype(np.int32), (np.diff(offsets) // 9).astype(np.int32)
 
     def of(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(count of each key, rows of all their bytes)."""
